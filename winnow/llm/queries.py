@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import line_dedup, mixing, quality
+from winnow.llm import bpe, line_dedup, mixing, quality
 from winnow.llm.common import table
 
 
@@ -22,10 +22,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 SQL: dict[str, str] = {
