@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe, line_dedup, mixing, quality, simhash
+from winnow.llm import bpe, itq, line_dedup, mixing, quality, simhash
 from winnow.llm.common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -44,6 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+SELECT * FROM (
+  SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+WHERE similarity >= 0.95""",
     "op4_source_mixing": """
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS tokens, md5('42:' || doc_id) AS key
