@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe, itq, line_dedup, mixing, quality, simhash
+from winnow.llm import bpe, itq, licenses, line_dedup, mixing, quality, simhash
 from winnow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mixing": op4_source_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
