@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe, itq, licenses, line_dedup, mixing, pii, quality, simhash
+from winnow.llm import bpe, itq, licenses, line_dedup, media, mixing, pii, quality, simhash
 from winnow.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media; the picture of every vector of embeddings stands in for a media column."""
+    return media.copies(media.drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_license_scan": op5_license_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_media_copies": op7_media_copies,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_round_trip": op10_bpe_round_trip,
