@@ -162,11 +162,11 @@ def rater_label(c: Column) -> Column:
 
 
 def cell(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", c), F.lit("--"))
+    return F.when(c.isNotNull(), F.format_string("%.3f", c)).otherwise(F.lit("--"))
 
 
 def delta_cell(c: Column, reference: Column) -> Column:
-    return F.when(reference.isNull(), cell(c)).otherwise(F.coalesce(F.format_string("%.3f (%+.3f)", c, c - reference), F.lit("--")))
+    return F.when(reference.isNull() | c.isNull(), cell(c)).otherwise(F.format_string("%.3f (%+.3f)", c, c - reference))
 
 
 def coco_name(split: str, image_id: Column) -> Column:

@@ -106,10 +106,14 @@ def by_type(df: DataFrame, least: float = 0.7) -> DataFrame:
 def distinct_n(df: DataFrame, text: str, orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """(n, distinct_share): distinct n-grams of all texts over all of them; none crosses a text."""
     w = df.select(T.words(F.col(text)).alias("w")).filter("size(w) > 0")
-    parts = [w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice(F.col("w"), i + 1, n), " "))).alias("g")) for n in orders]
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.union(p)
+
+    def of_order(n: int) -> DataFrame:
+        gram = lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
+        return w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), gram)).alias("g"))
+
+    grams = of_order(orders[0])
+    for n in orders[1:]:
+        grams = grams.union(of_order(n))
     got = grams.groupBy("n", "g").agg(F.count("*").alias("m")).groupBy("n").agg((F.count("*") / F.sum("m")).alias("distinct_share"))
     return df.sparkSession.createDataFrame([(n,) for n in orders], "n int").join(got, "n", "left").na.fill(0.0)
 
