@@ -18,7 +18,7 @@ VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int32).max
 _WIDE = 48
 #: What a worker remembers before it starts afresh; results are the same.
-_STATES, _WORDS = 1 << 17, 1 << 20
+_STATES, _WORDS = 1 << 15, 1 << 20
 
 
 def read_ranks(path: str = VOCAB) -> dict[bytes, int]:
@@ -162,6 +162,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
+        self.pairs.clear()
         self.states: dict[tuple, int] = {}
         self.items: list[tuple] = []
         self.final: list[list[int]] = []

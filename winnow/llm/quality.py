@@ -29,6 +29,7 @@ from winnow.llm.common import partitions, texts
 DIM, NONZERO, WINDOW, ROW_BITS = 32, 2, 2, 16
 HIDDEN, EPOCHS, BATCH, RATE, FIT_ROWS, SEED, THRESHOLD = 32, 40, 256, 0.01, 8192, 42, 0.5
 _ROWS, _BLOCKS = 1 << ROW_BITS, 64
+_CHUNK = 1 << 19  # bytes of text at once, for the memory that two workers share with an executor
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = _index_vectors()
     table, seen = np.zeros(_ROWS * DIM, np.int64), False
     for batch in batches:
-        for _, b, offs in vec.chunks(batch.column(0)):
+        for _, b, offs in vec.chunks(batch.column(0), 2 * _CHUNK):
             row, n = _words(b, offs)
             own = np.repeat(np.arange(len(n)), n)
             cells, weights = [], []
@@ -59,7 +60,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, y in ((row[near], row[near + o]), (row[near + o], row[near])):
                     for k in range(NONZERO):
                         cells.append(x * DIM + place[y, k])
-                        weights.append(sign[y, k])
+                        weights.append(sign[y, k].astype(np.float64))
             table += np.bincount(np.concatenate(cells), np.concatenate(weights), _ROWS * DIM).astype(np.int64)
             seen = True
     if seen:
@@ -92,7 +93,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(vectors: np.ndarray, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features, words) of each text of an Arrow column."""
     feats, words = np.zeros((len(col), DIM + 2), np.float32), np.zeros(len(col), np.int64)
-    for i, b, offs in vec.chunks(col):
+    for i, b, offs in vec.chunks(col, _CHUNK):
         row, n = _words(b, offs)
         has = np.flatnonzero(n)
         if len(has):
