@@ -17,7 +17,7 @@ Rows without id are left out; empty input gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,8 +189,8 @@ def _unpacked(g: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
             ids = part.column(0).to_numpy()
             read = [grey(x.as_py()) for x in part.column(1)]
             by: dict[tuple, list[int]] = {}
@@ -242,10 +242,19 @@ def _inliers(p: np.ndarray, q: np.ndarray) -> int:
     return best
 
 
-def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
-    """(id_a, id_b, inliers) of the pairs a < b of images that show the same."""
-    rows = images.select(F.col(id_col).cast("bigint").alias("id"), F.col(image_col).cast("binary").alias("image")).filter("id IS NOT NULL")
-    rows = rows.mapInArrow(_rows, "key bigint, id bigint, at bigint, d0 bigint, d1 bigint, d2 bigint")
+def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", prepare: Callable | None = None) -> DataFrame:
+    """(id_a, id_b, inliers) of the pairs a < b of images that show the same.
+
+    `prepare` turns Arrow batches of (id, image_col) into batches of (id, image) within the same task, so that images made
+    from something smaller never pass through the JVM. For stored images spark.sql.execution.arrow.maxRecordsPerBatch
+    should keep a batch of them within an executor's memory.
+    """
+    rows = images.select(F.col(id_col).cast("bigint").alias("id"), F.col(image_col).alias("image")).filter("id IS NOT NULL")
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(prepare(batches) if prepare else batches)
+
+    rows = rows.mapInArrow(described, "key bigint, id bigint, at bigint, d0 bigint, d1 bigint, d2 bigint")
     x, y = rows.alias("x"), rows.alias("y")
     apart = [F.col(f"x.d{k}").bitwiseXOR(F.col(f"y.d{k}")) for k in range(3)]
     near = sum((F.bit_count(d) for d in apart), F.lit(0)) <= MAX_BITS
@@ -257,10 +266,10 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
     return pairs.filter(F.size("m") >= MIN_INLIERS).mapInArrow(_consensus, "id_a bigint, id_b bigint, inliers int")
 
 
-def drawn(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", side: int = 96, cells: int = 48, seed: int = SEED) -> DataFrame:
-    """(id, image) with a PGM picture of each 64-number vector: a fixed random map makes a field of cells x cells of it, which is
-    shaded to side x side pixels, so that close vectors give pictures with small edits. Null where a vector is null, of
-    another length or not finite."""
+def drawer(side: int = 96, cells: int = 48, seed: int = SEED) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns batches of (id, 64-number vector) into (id, PGM picture): a fixed random map makes a field of cells x cells of
+    the vector, which is shaded to side x side pixels, so that close vectors give pictures with small edits. Null where a
+    vector is null, of another length or not finite."""
     at = np.clip((np.arange(side) + 0.5) * cells / side - 0.5, 0, cells - 1)
     lo = np.floor(at).astype(int)
     up = np.zeros((side, cells), np.float32)
@@ -271,8 +280,8 @@ def drawn(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 read = [None if v is None or len(v) != 64 or None in v else np.array(v, np.float32) for v in part.column(1).to_pylist()]
                 out: list[bytes | None] = [None] * len(read)
                 good = [i for i, v in enumerate(read) if v is not None and np.isfinite(v).all()]
@@ -282,4 +291,9 @@ def drawn(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                         out[i] = head + x.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "image"])
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(run, "id bigint, image binary")
+    return run
+
+
+def drawn(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, image) with the drawer's picture of each vector."""
+    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(drawer(), "id bigint, image binary")
