@@ -88,8 +88,10 @@ def _netpbm(data: bytes) -> np.ndarray:
             at = data.index(b"\n", at)
             continue
         end = at
-        while not data[end : end + 1].isspace():
+        while end < len(data) and not data[end : end + 1].isspace():
             end += 1
+        if end == len(data):
+            raise ValueError("the header is cut off")
         fields.append(int(data[at:end]))
         at = end
     w, h, top = fields
@@ -105,7 +107,7 @@ def grey(data: bytes | None) -> np.ndarray | None:
         x = _png(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else _netpbm(data) if data[:2] in (b"P5", b"P6") else None
     except (ValueError, KeyError, IndexError, TypeError, zlib.error):
         return None
-    return None if x is None else (x.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32) if x.shape[2] == 3 else x[..., 0].astype(np.float32))
+    return None if x is None or not x.size else (x.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32) if x.shape[2] == 3 else x[..., 0].astype(np.float32))
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
