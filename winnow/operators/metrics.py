@@ -108,8 +108,12 @@ def distinct_n(df: DataFrame, text: str, orders: Sequence[int] = (1, 2, 3)) -> D
     w = df.select(T.words(F.col(text)).alias("w")).filter("size(w) > 0")
 
     def of_order(n: int) -> DataFrame:
-        gram = lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
-        return w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), gram)).alias("g"))
+        """Shifted copies of the words put together; a lambda that named the words would find them anew for every gram."""
+        many = F.size("w") - (n - 1)
+        g = F.slice("w", 1, many)
+        for k in range(1, n):
+            g = F.zip_with(g, F.slice("w", k + 1, many), lambda x, y: F.concat(x, F.lit(" "), y))
+        return w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(g).alias("g"))
 
     grams = of_order(orders[0])
     for n in orders[1:]:
