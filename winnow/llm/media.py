@@ -7,7 +7,7 @@ descriptors that agree in a table and differ in at most MAX_BITS match, and each
 where it is found. Matches of a pair of images then vote: each proposes a similarity transform (scale, turn, shift), and
 the pair is a copy if MIN_INLIERS matches with distinct places on either side agree with one transform within TOLERANCE.
 
-Every image meets every other through the tables; no candidate is capped. A row in the join is 56 bytes.
+Every image meets every other through the tables; no candidate is capped. A row in the join is 48 bytes.
 
 Defined results: a null, unreadable, too small or featureless image matches nothing. Repeated rows of one id count as one
 image that has all their features; an id never matches itself. Ties in corner strength go to the upper, then the left one.
