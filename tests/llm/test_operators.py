@@ -198,6 +198,32 @@ def test_simhash_recall(spark, sample):
     assert {a for a, _ in got} <= {a for a, _ in want} and len(got & want) >= 0.9 * len(want) and len(want) > 150
 
 
+def test_simhash_recall_by_distance(spark):
+    """Texts with 5 to 10 % of their words replaced, and fingerprints at the limit itself."""
+    r = np.random.default_rng(7)
+    texts = []
+    for k in range(1200):
+        w = [f"w{x}" for x in r.integers(0, 5000, (60, 200)[k % 2])]
+        v = list(w)
+        for x in r.choice(len(w), round(len(w) * (0.05, 0.08, 0.1)[k % 3]), replace=False):
+            v[x] = f"n{r.integers(0, 5000)}"
+        texts += [" ".join(w), " ".join(v)]
+    f = np.concatenate([simhash.fingerprints(b, o)[0] for _, b, o in vec.chunks(pa.array(texts))])
+    at_limit = r.integers(0, 2**64, (400, 6), dtype=np.uint64)
+    flips = np.argsort(r.random((400, 384)), axis=1) < simhash.MAX_BITS
+    other = at_limit ^ np.packbits(flips, axis=1).view(">u8").astype(np.uint64)
+    f = np.concatenate([f, np.stack([at_limit, other], 1).reshape(-1, 6)])
+    apart = np.unpackbits((f[::2] ^ f[1::2]).view(np.uint8), axis=1).sum(1)
+    reps = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "id bigint, " + ", ".join(f"f{k} bigint" for k in range(6)))
+    got = {(p.a, p.b): p.bits for p in simhash.similar(reps).collect()}
+    assert all(bits <= simhash.MAX_BITS for bits in got.values())
+    for low, high, least in ((1, 31, 1.0), (32, 47, 0.97), (48, 57, 0.93), (58, 64, 0.9), (64, 64, 0.9)):
+        pairs = np.flatnonzero((apart >= low) & (apart <= high))
+        recall = np.mean([(2 * k, 2 * k + 1) in got for k in pairs])
+        print(f"{low}-{high} bits: {recall:.3f} of {len(pairs)} pairs")
+        assert len(pairs) >= 30 and recall >= least
+
+
 def test_cells_bound_distance():
     r = np.random.default_rng(0)
     f = r.integers(0, 2**63, (50, 6)).astype(np.uint64)
