@@ -312,6 +312,15 @@ def test_bpe_equals_the_library(spark, sample, tiktoken_encoding):
         assert r.n_tokens == len(want[r.doc_id] or []) and r.n_whole <= r.n_pretokens <= r.n_tokens
 
 
+def test_bpe_memory_overflows_within_a_chunk(monkeypatch, tiktoken_encoding):
+    monkeypatch.setattr(bpe, "_WORDS", 8)
+    encoder = bpe.Encoder(bpe.read_ranks())
+    for text in ("one two three four five six", " ".join(f"n{k} two" for k in range(40)), "two three", "", " ".join(f"m{k}" for k in range(9)), "m1 m2 one"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, n = encoder.chunk(data, np.array([0, len(data)]))
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(text) and n.tolist() == [len(ids)]
+
+
 def test_streaming_decoder():
     machine, text = bpe.Utf8Machine(), "é漢\U0001f600x"
     data = text.encode()

@@ -238,8 +238,6 @@ class Encoder:
         self.off, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
     def _learn(self, b: np.ndarray, key: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        if self.known + len(key) > _WORDS:
-            self._reset()
         got = [self.machine.encode(b[i:j].tobytes()) for i, j in zip(s.tolist(), e.tolist())]
         n = np.fromiter(map(len, got), np.int64, len(got))
         new = np.fromiter((t for g in got for t in g), np.int32, int(n.sum()))
@@ -261,12 +259,11 @@ class Encoder:
         if (k < 0).any():
             miss = np.flatnonzero(k < 0)
             key, first = np.unique(np.where(h[miss] == 0, np.uint64(1), h[miss]), return_index=True)
-            before = self.known
+            if self.known and self.known + len(key) > _WORDS:  # start afresh, with all that this chunk needs
+                self._reset()
+                miss = np.arange(len(h))
+                key, first = np.unique(np.where(h == 0, np.uint64(1), h), return_index=True)
             self._learn(b, key, s[miss[first]], e[miss[first]])
-            if self.known < before + len(key):  # the memory was emptied
-                again, at = np.unique(h, return_index=True)
-                lost = self.map.get(again) < 0
-                self._learn(b, again[lost], s[at[lost]], e[at[lost]])
             k = self.map.get(h)
         ids = self.flat[vec.expand(self.off[k], self.size[k])]
         each = np.append(0, np.cumsum(self.size[k]))
