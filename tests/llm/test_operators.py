@@ -175,6 +175,34 @@ def test_licenses_against_brute_force(sample):
     assert {(len(rows) + k, n) for k, (n, _) in enumerate(licenses.TEMPLATES)} <= got
 
 
+HEADERS = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-4.0": "This is under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This is under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This is under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MIT": "// SPDX-License-Identifier: MIT",
+    "MIT-0": "// SPDX-License-Identifier: MIT-0",
+    "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0",
+}
+
+
+def test_licenses_headers_against_each_other(spark):
+    """Each template and each header is reported as its own license alone; two of them in a document are both reported."""
+    cases = [(t, {n}) for n, t in licenses.TEMPLATES] + [(t, {n}) for n, t in HEADERS.items()]
+    more = " See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+    cases += [(HEADERS[n] + more, {n}) for n in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0")]
+    cases += [(f"{s} {'word ' * k}{t}", {m, n}) for m, s in HEADERS.items() for n, t in HEADERS.items() if m != n for k in (0, 60)]
+    rows = [(i, f"{'word ' * (i % 7)}{t} more words", "x") for i, (t, _) in enumerate(cases)]
+    got = {}
+    for r in licenses.scan(docs_of(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: (cases[i][0], got.get(i)) for i in range(len(cases)) if got.get(i) != cases[i][1]} == {}
+
+
 def test_simhash_recall(spark, sample):
     more = sample.select("doc_id", "text").union(sample.selectExpr("doc_id + 100000", "text || ' extra words'"))
     got = {(r.doc_id, r.duplicate_of) for r in simhash.duplicates(more).collect()}

@@ -6,6 +6,12 @@ Jaccard similarity is at least about one half; with 24 bands of 2 hashes they th
 What shares a band is verified by counting the template's shingles in the window. Windows without a single shingle of any
 template have similarity 0 with all of them: their signatures are not computed, which changes no result.
 
+Standard headers share most of their words (GPL-3.0's in AGPL-3.0's: 0.95), so templates compete for a place. Where most of a
+template's shingles stand in its own order in the window is its place, and the share of them that does so its rank; by falling
+rank, then length, each takes the words of its place, and what finds half or more of them taken by another license is not
+reported. Notices at different places in a document do not compete. Of an SPDX
+expression (MIT OR Apache-2.0) only the first license is read.
+
 Templates are few and fixed (a parameter), so they travel with the code; the scan itself moves no rows.
 
 Defined results: words are runs of letters, digits, underscores and non-ASCII bytes, in lower case; punctuation and line
@@ -36,7 +42,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD", "Released under the BSD License."),
@@ -49,8 +61,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("All-Rights-Reserved", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {spdx}") for name, spdx in (("MIT", "MIT"), ("MIT-0", "MIT-0"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3.0"), ("AGPL-3.0", "AGPL-3.0"), ("BSD", "BSD-2-Clause"), ("BSD", "BSD-3-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("CC-BY-ND-4.0", "CC-BY-ND-4.0"), ("CC-BY-NC-ND-4.0", "CC-BY-NC-ND-4.0"), ("CC0-1.0", "CC0-1.0"))),
 )
 _FINE = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = vec.seeded(BANDS * ROWS, 9)
@@ -87,7 +107,7 @@ def _signatures(sets: np.ndarray) -> np.ndarray:
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.names, self.threshold = [n for n, _ in templates], threshold
-        self.sets, self.size, self.bands = [], [], []
+        self.sets, self.size, self.bands, self.order = [], [], [], []
         for _, t in templates:
             data = np.frombuffer(t.encode(), np.uint8)
             g, _, n = shingles(data, np.array([0, len(data)]))
@@ -95,20 +115,27 @@ class Scanner:
             if not len(u):
                 raise ValueError(f"a template needs {K} words: {t}")
             self.sets.append(u)
+            self.order.append(g[g > 0])
             self.size.append(int(n[0]))
             self.bands.append(_signatures(u[None])[0])
         every = np.unique(np.concatenate(self.sets))
         self.map = vec.Lookup(12)
         self.map.put(every, np.arange(len(every)))
 
-    def chunk(self, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, float, int]]:
-        """(row, license, containment, first word of the window) of a chunk, in order."""
+    def _place(self, t: int, window: np.ndarray) -> tuple[float, int]:
+        """(share of a template's shingles that stand in its order, give or take a quarter of its length; where it begins)."""
+        i, p = np.nonzero(self.order[t][:, None] == window)
+        begin = int(np.bincount(p - i + len(self.order[t])).argmax()) - len(self.order[t])
+        return len(np.unique(i[np.abs(p - i - begin) <= self.size[t] // 4])) / len(self.order[t]), begin
+
+    def hits(self, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, int, float, int]]:
+        """(row, template, containment, first word of the window, rank, first word of its place) of a chunk."""
         g, row, n = shingles(b, offs)
         hits = np.flatnonzero((self.map.get(g) >= 0) & (g > 0))
         if not len(hits):
             return []
         first = np.cumsum(n) - n
-        best: dict[tuple[int, str], tuple[float, int]] = {}
+        out = []
         for size in sorted(set(self.size)):
             wide, step = size + size // 2, max(1, size // 4)
             q = hits - first[row[hits]]
@@ -127,11 +154,38 @@ class Scanner:
                     for w in np.flatnonzero((bands == self.bands[t]).any(1)).tolist():
                         share = np.isin(self.sets[t], sets[w]).sum() / len(self.sets[t])
                         if share >= self.threshold:
-                            key = (int(r[w]), self.names[t])
-                            now = (share, -int(at[w]))
-                            if now > best.get(key, (0.0, 0)):
-                                best[key] = now
-        return [(r, name, float(s), -at) for (r, name), (s, at) in sorted(best.items())]
+                            rank, begin = self._place(t, sets[w])
+                            out.append((int(r[w]), t, float(share), int(at[w]), rank, max(0, int(at[w]) + begin)))
+        return out
+
+    def _best(self, hits: list[tuple[int, int, float, int, float, int]]) -> list[tuple[int, str, float, int]]:
+        best: dict[tuple[int, str], tuple[float, int]] = {}
+        for r, t, share, at, *_ in hits:
+            key = (r, self.names[t])
+            best[key] = max(best.get(key, (0.0, 0)), (share, -at))
+        return [(r, name, share, -at) for (r, name), (share, at) in sorted(best.items())]
+
+    def chunk(self, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, float, int]]:
+        """(row, license, containment, first word of the window) of all licenses that a chunk contains, in order."""
+        return self._best(self.hits(b, offs))
+
+    def winners(self, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, float, int]]:
+        """chunk() without the licenses that lose each of their places to another."""
+        by: dict[int, list[tuple[int, int, float, int, float, int]]] = {}
+        for hit in self.hits(b, offs):
+            by.setdefault(hit[0], []).append(hit)
+        licenses = {name: k for k, name in enumerate(dict.fromkeys(self.names))}
+        left = []
+        for hits in by.values():
+            low = min(h[5] for h in hits)
+            owner = np.full(max(h[5] + self.size[h[1]] for h in hits) - low, -1, np.int32)
+            for hit in sorted(hits, key=lambda h: (-h[4], -len(self.sets[h[1]]), h[3], h[1])):
+                begin, mine = hit[5] - low, licenses[self.names[hit[1]]]
+                place = owner[begin : begin + self.size[hit[1]]]
+                if 2 * np.count_nonzero((place >= 0) & (place != mine)) < len(place):
+                    place[place < 0] = mine
+                    left.append(hit)
+        return self._best(left)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -141,7 +195,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         scanner = Scanner(templates, threshold)
         for batch in batches:
             for i, b, offs in vec.chunks(batch.column(1)):
-                found = scanner.chunk(b, offs)
+                found = scanner.winners(b, offs)
                 if found:
                     r, name, share, at = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + x for x in r])), pa.array(name), pa.array(share), pa.array(at, pa.int64())], names=["doc_id", "license", "containment", "word"])
