@@ -341,14 +341,48 @@ def test_bpe_equals_the_library(spark, sample, tiktoken_encoding):
 
 
 def test_bpe_memory_overflows_within_a_chunk(monkeypatch, tiktoken_encoding):
+    """With room for 8 words, 16 states and 12 bytes a word run side by side, results are those of the library."""
     monkeypatch.setattr(bpe, "_WORDS", 8)
-    encoder = bpe.Encoder(bpe.read_ranks())
-    for text in ("one two three four five six", " ".join(f"n{k} two" for k in range(40)), "two three", "", " ".join(f"m{k}" for k in range(9)), "m1 m2 one"):
+    monkeypatch.setattr(bpe, "_STATES", 16)
+    monkeypatch.setattr(bpe, "_ABREAST", 5)
+    monkeypatch.setattr(bpe, "_LONG", 12)
+    encoder = bpe.Encoder(bpe.Compiled(bpe.read_ranks()))
+    for text in ("one two three four five six", " ".join(f"n{k} two" for k in range(40)), "two three", "", " ".join(f"m{k}" for k in range(9)), "m1 m2 one", "hippopotamuses counterrevolutionary antidisestablishmentarianism"):
         data = np.frombuffer(text.encode(), np.uint8)
         ids, n = encoder.chunk(data, np.array([0, len(data)]))
         assert ids.tolist() == tiktoken_encoding.encode_ordinary(text) and n.tolist() == [len(ids)]
 
 
+def test_bpe_long_text_of_distinct_words(tiktoken_encoding):
+    encoder, r = bpe.Encoder(bpe.Compiled(bpe.read_ranks())), np.random.default_rng(0)
+    for text in ("a few known words", " ".join("".join(map(chr, r.integers(97, 123, n))) for n in r.integers(1, 30, 40_000)), "a few known words"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert encoder.chunk(data, np.array([0, len(data)]))[0].tolist() == tiktoken_encoding.encode_ordinary(text)
+
+
+def test_fits_equals_merging(sample, tiktoken_encoding):
+    compiled, r = bpe.Compiled(bpe.read_ranks()), np.random.default_rng(0)
+    name = {k: t for t, k in compiled.merger.ranks.items()}
+    coded = [tiktoken_encoding.encode_ordinary(row.text) for row in sample.limit(20).collect()]
+    near = [p for t in coded for p in zip(t, t[1:])]
+    swaps = [(a, int(b)) for (a, _), b in zip(near, r.integers(0, 2000, len(near)))]
+    a, b = (np.array(x, np.int32) for x in zip(*near, *swaps, *r.integers(0, 50256, (4000, 2)).tolist()))
+    want = [compiled.merger.one(name[x] + name[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist())]
+    assert compiled.fits(a, b).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_transducer_emits_after_bounded_lookahead():
+    machine = bpe.Transducer(bpe.Compiled(bpe.read_ranks()))
+    size = {k: len(t) for t, k in machine.c.merger.ranks.items()}
+    for word in (b" antidisestablishmentarianism" * 8, b"x" * 200, bytes(np.random.default_rng(1).integers(97, 123, 200).tolist())):
+        out, done = [], 0
+        for k, tokens in enumerate(machine.stream(word)):
+            out += tokens
+            done += sum(size[t] for t in tokens)
+            assert min(k + 1, len(word)) - done <= 2 * max(size.values())
+        assert out == machine.c.merger.one(word)
+
+
 def test_streaming_decoder():
     machine, text = bpe.Utf8Machine(), "é漢\U0001f600x"
     data = text.encode()

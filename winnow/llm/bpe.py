@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int32).max
 _WIDE = 48
 #: What a worker remembers before it starts afresh; results are the same.
-_STATES, _WORDS = 1 << 15, 1 << 20
+_STATES, _WORDS = 1 << 18, 1 << 20
+#: The longest pre-token that the transducer runs, and how many it runs side by side.
+_LONG, _ABREAST = 256, 1 << 15
 
 
 def read_ranks(path: str = VOCAB) -> dict[bytes, int]:
@@ -44,12 +48,21 @@ class Merger:
         self.map = vec.Lookup(20)
         self.map.put(vec.mix64(np.array(keys, np.uint64)), np.array(vals, np.int32))
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r = self.map.get(vec.mix64(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)))
         return np.where(r < 0, _NONE, r)
 
     def one(self, s: bytes) -> list[int]:
-        """The tokens of one string, by a heap over a linked list: n log n for a string of n bytes."""
+        """The tokens of one string."""
+        return self._merge(s)[0]
+
+    def last_pair(self, s: bytes) -> tuple[int, int]:
+        """The two tokens that the last merge of a string puts together."""
+        return self._merge(s)[1]
+
+    def _merge(self, s: bytes) -> tuple[list[int], tuple[int, int]]:
+        """By a heap over a linked list: n log n for a string of n bytes."""
+        pair = (-1, -1)
         ids, n = [int(self.byte[x]) for x in s], len(s)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = []
@@ -66,14 +79,14 @@ class Merger:
             j = after[i]
             if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], alive[j] = r, False
+            ids[i], alive[j], pair = r, False, (a, b)
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [t for t, ok in zip(ids, alive) if ok]
+        return [t for t, ok in zip(ids, alive) if ok], pair
 
     def counts(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of tokens of each byte range of b."""
@@ -97,7 +110,7 @@ class Merger:
         ids = np.where(there, self.byte[b[np.where(there, start[:, None] + col, 0)]], -1)
         rank = np.full((len(ids), wide), _NONE, np.int32)
         two = there[:, 1:]
-        rank[:, :-1][two] = self._rank(ids[:, :-1][two], ids[:, 1:][two])
+        rank[:, :-1][two] = self.rank(ids[:, :-1][two], ids[:, 1:][two])
         left = size.astype(np.int64)
         rows = np.arange(len(ids))
         while len(rows):
@@ -119,7 +132,7 @@ class Merger:
                 p = at + shift
                 ok = (p >= 0) & (p + 1 < n)
                 q = np.flatnonzero(ok)
-                rank[q, p[q]] = self._rank(ids[q, p[q]], ids[q, p[q] + 1])
+                rank[q, p[q]] = self.rank(ids[q, p[q]], ids[q, p[q] + 1])
                 q = np.flatnonzero((p >= 0) & ~ok)
                 rank[q, p[q]] = _NONE
         return left
@@ -134,122 +147,243 @@ def provable(merger: Merger) -> list[bytes]:
     return [w for w, k in zip(words, n.tolist()) if k == 1]
 
 
+class Compiled:
+    """What is worked out from a vocabulary once, on the driver, and broadcast: the proof, the trie, and how tokens come apart."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.merger = Merger(ranks)
+        self.whole = provable(self.merger)
+        child: list[dict[int, int]] = [{}]
+        ends = [-1]
+        top = max(ranks.values()) + 1
+        self.left, self.right, self.age = np.zeros(top, np.int32), np.zeros(top, np.int32), np.full(top, -1, np.int32)
+        for w in self.whole:
+            node, t = 0, ranks[w]
+            for x in w:
+                nxt = child[node].get(x)
+                if nxt is None:
+                    nxt = child[node][x] = len(child)
+                    child.append({})
+                    ends.append(-1)
+                node = nxt
+            ends[node] = t
+            if len(w) > 1:
+                self.left[t], self.right[t], self.age[t] = *self.merger.last_pair(w), t
+        self.ends, self.open = np.array(ends, np.int32), np.array([bool(c) for c in child])
+        self.child = vec.Lookup(18)
+        self.child.put(vec.mix64(np.array([n << 8 | x for n, c in enumerate(child) for x in c], np.uint64)), np.array([y for c in child for y in c.values()], np.int32))
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the strings of tokens a and b, put together, merge back to a and b; a is -1 where nothing stands before b.
+
+        Merges are undone at the seam, the latest first, by ranks: a pair across the seam that would have merged before the
+        merge undone last refutes it. Of equal ranks the left one merges first.
+        """
+        ok = np.ones(len(a), bool)
+        i = np.flatnonzero(a >= 0)
+        x, y, limit = a[i], b[i], np.full(len(i), _NONE, np.int64)
+        while len(i):
+            bad = self.merger.rank(x, y) < limit
+            ok[i[bad]] = False
+            p, q = self.age[x], self.age[y]
+            go = ~bad & ((p >= 0) | (q >= 0))
+            i, x, y, p, q = i[go], x[go], y[go], p[go], q[go]
+            late = p > q
+            limit = np.where(late, p, q + 1)
+            x, y = np.where(late, self.right[x], x), np.where(late, y, self.left[y])
+        return ok
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, *width: int):
+        self.n, self.x = 0, np.empty((1024, *width), kind)
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.x):
+            self.x = np.concatenate([self.x, np.empty((max(len(self.x), len(rows)), *self.x.shape[1:]), self.x.dtype)])
+        self.x[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
 class Transducer:
     """The merges as a deterministic finite-state transducer whose states are made when they are first met.
 
     The encoding of a prefix ends in exactly one token, and a sequence of tokens is an encoding if each neighbouring pair is
     (its two strings, put together, merge back to these two). So after each byte it is enough to know, for each place where
     a token that is not over yet may have begun, how far in the vocabulary's trie it has come and which tokens led up to
-    that place. These places, with the tokens not emitted yet, are the state; tokens that all places agree on are emitted.
-    A place dies when no vocabulary string goes on that way, so lookahead is bounded by the longest token and its overlaps.
-    """
+    that place. These places, with the tokens not emitted yet, are the state; tokens that all places agree on are emitted,
+    and the last of these is kept only while a place stands right behind it. A place dies when no vocabulary string goes on
+    that way, so lookahead is bounded by the longest token and its overlaps.
 
-    def __init__(self, merger: Merger, whole: Iterable[bytes]):
-        self.merger, self.pairs = merger, {}
-        self.name = {r: t for t, r in merger.ranks.items()}
-        self.child: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for w in whole:
-            node = 0
-            for x in w:
-                nxt = self.child[node].get(x)
-                if nxt is None:
-                    nxt = self.child[node][x] = len(self.child)
-                    self.child.append({})
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = merger.ranks[w]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.pairs.clear()
-        self.states: dict[tuple, int] = {}
-        self.items: list[tuple] = []
-        self.final: list[list[int]] = []
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(((0, (-1,)),))
-
-    def _state(self, items: tuple) -> int:
-        k = self.states.get(items)
-        if k is None:
-            k = self.states[items] = len(self.items)
-            self.items.append(items)
-            self.final.append(list(items[-1][1][1:]))
-        return k
-
-    def _fits(self, a: int, b: int) -> bool:
-        if a < 0:
-            return True
-        key = a << 32 | b
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self.pairs[key] = self.merger.one(self.name[a] + self.name[b]) == [a, b]
-        return ok
+    Many strings are run side by side, a byte of each at a time, and the transitions that they lack are made together. A
+    state is known by a 64-bit hash of its places: with 2^18 states two share one with probability 2e-9.
+    """
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        items, found = [], None
-        for node, tail in self.items[state]:
-            nxt = self.child[node].get(byte)
-            if nxt is None:
-                continue
-            t = self.ends[nxt]
-            if t >= 0 and found is None and self._fits(tail[-1], t):
-                found = tail + (t,)
-            if self.child[nxt]:
-                items.append((nxt, tail))
-        if found is None:
+    def __init__(self, compiled: Compiled):
+        self.c = compiled
+        self.reset()
+
+    def reset(self) -> None:
+        self.wide = 4
+        self.node, self.tail, self.size = _Rows(np.int32), _Rows(np.int32, self.wide), _Rows(np.int32)  # places
+        self.first, self.many = _Rows(np.int64), _Rows(np.int32)  # states: where their places begin, and how many
+        self.end_at, self.end_n = _Rows(np.int64), _Rows(np.int32)  # what a state emits at the end of the string
+        self.to, self.at, self.n = _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)  # transitions: next state, emission
+        self.flat = _Rows(np.int32)
+        self.known, self.step = vec.Lookup(16), vec.Lookup(16)
+        begin = np.full((1, self.wide), -2, np.int32)
+        begin[0, 0] = -1
+        self._states(np.zeros(1, np.int32), begin, np.ones(1, np.int32), np.zeros(1, np.int64), np.ones(1, np.int32))
+
+    def _emit(self, tokens: np.ndarray, n: np.ndarray, at: _Rows, many: _Rows) -> None:
+        at.add(self.flat.n + np.cumsum(n) - n)
+        many.add(n)
+        self.flat.add(tokens)
+
+    def _states(self, node: np.ndarray, tail: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The states of these lists of places, new or not."""
+        h = vec.mix64(node.astype(np.uint64) << np.uint64(8) | size.astype(np.uint64))
+        for k in range(self.wide):
+            h = np.where(k < size, vec.mix64(h + tail[:, k].astype(np.uint64)), h)
+        h = vec.mix64(h + (np.arange(len(node)) - np.repeat(start, n)).astype(np.uint64))
+        key = vec.mix64(np.add.reduceat(h, start))
+        key = np.where(key == 0, np.uint64(1), key)
+        got = self.known.get(key)
+        if (got < 0).any():
+            miss = np.flatnonzero(got < 0)
+            new, which = np.unique(key[miss], return_index=True)
+            which = miss[which]
+            self.known.put(new, np.arange(self.first.n, self.first.n + len(new), dtype=np.int32))
+            many = n[which]
+            rows = vec.expand(start[which], many)
+            self.first.add(self.node.n + np.cumsum(many) - many)
+            self.many.add(many)
+            last = start[which] + many - 1
+            cols = np.arange(1, self.wide)
+            self._emit(tail[last, 1:][cols < size[last, None]], size[last] - 1, self.end_at, self.end_n)
+            for own, x in ((self.node, node), (self.tail, tail), (self.size, size)):
+                own.add(x[rows])
+            got = self.known.get(key)
+        return got
+
+    def _widen(self) -> None:
+        old = self.tail
+        self.tail = _Rows(np.int32, 2 * self.wide)
+        self.tail.add(np.pad(old.x[: old.n], ((0, 0), (0, self.wide)), constant_values=-2))
+        self.wide *= 2
+
+    def _make(self, state: np.ndarray, byte: np.ndarray) -> None:
+        """The transitions of distinct (state, byte)."""
+        m, c = len(state), self.c
+        n = self.many.x[state]
+        at, own = vec.expand(self.first.x[state], n), np.repeat(np.arange(m), n)
+        nxt = c.child.get(vec.mix64(self.node.x[at].astype(np.uint64) << np.uint64(8) | byte[own].astype(np.uint64)))
+        on = nxt >= 0
+        at, own, nxt = at[on], own[on], nxt[on]
+        if self.size.x[at].max(initial=0) >= self.wide:
+            self._widen()
+        tail, size, token = self.tail.x[at], self.size.x[at], c.ends[nxt]
+        may = np.flatnonzero(token >= 0)
+        hit = may[c.fits(tail[may, size[may] - 1], token[may])]
+        has, one = np.unique(own[hit], return_index=True)
+        if len(has) != m:
             raise ValueError("the vocabulary's merges are not closed: a prefix has no last token")
-        items.append((0, found))
-        same = min(len(tail) for _, tail in items) - 1
-        first = items[0][1]
-        k = 0
-        while k < same and all(tail[k + 1] == first[k + 1] for _, tail in items):
-            k += 1
-        out = (self._state(tuple((node, tail[k:]) for node, tail in items)), first[1 : k + 1])
-        self.step[state << 8 | byte] = out
-        return out
-
-    def encode(self, s: bytes) -> list[int]:
-        if len(self.items) > _STATES:
-            self._reset()
-        step, out, state = self.step, [], self.start
+        hit, goes = hit[one], c.open[nxt]
+        found = tail[hit]
+        found[np.arange(m), size[hit]] = token[hit]
+        order = np.argsort(np.concatenate([own[goes], np.arange(m)]), kind="stable")  # the place after the found token comes last
+        own = np.concatenate([own[goes], np.arange(m)])[order]
+        node = np.concatenate([nxt[goes], np.zeros(m, np.int32)])[order]
+        tail, size = np.concatenate([tail[goes], found])[order], np.concatenate([size[goes], size[hit] + 1])[order]
+        start = np.searchsorted(own, np.arange(m))
+        least = np.minimum.reduceat(size, start)
+        agree = np.minimum.reduceat(tail, start, axis=0) == np.maximum.reduceat(tail, start, axis=0)
+        out = np.minimum(np.cumprod(agree[:, 1:], axis=1).sum(1), least - 1).astype(np.int32)
+        cols = np.arange(self.wide)
+        emitted = tail[start, 1:][cols[1:] <= out[:, None]]
+        shift = out[own]
+        tail = np.take_along_axis(tail, np.minimum(cols + shift[:, None], self.wide - 1), 1)
+        size = size - shift
+        tail[cols >= size[:, None]] = -2
+        tail[(least - out > 1)[own], 0] = -1
+        n = np.diff(np.append(start, len(own))).astype(np.int32)
+        self.step.put(vec.mix64(state.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64)), np.arange(self.to.n, self.to.n + m, dtype=np.int32))
+        self._emit(emitted, out, self.at, self.n)
+        self.to.add(self._states(node, tail, size, start, n))
+
+    def moves(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The transitions that these states take on these bytes."""
+        key = vec.mix64(state.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64))
+        got = self.step.get(key)
+        if (got < 0).any():
+            miss = np.flatnonzero(got < 0)
+            _, one = np.unique(key[miss], return_index=True)
+            self._make(state[miss[one]], byte[miss[one]])
+            got[miss] = self.step.get(key[miss])
+        return got
+
+    def encode(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all byte ranges of b in turn, how many each has)."""
+        if self.first.n > _STATES:
+            self.reset()
+        size = end - start
+        order = np.argsort(-size, kind="stable")
+        at, falling = start[order], -size[order]
+        state = np.zeros(len(at), np.int32)
+        where, n, own = [], [], []
+        for d in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(falling, -d))
+            go = self.moves(state[:live], b[at[:live] + d])
+            state[:live] = self.to.x[go]
+            emits = np.flatnonzero(self.n.x[go])
+            where.append(self.at.x[go[emits]])
+            n.append(self.n.x[go[emits]])
+            own.append(order[emits])
+        where, n, own = (np.concatenate([*x, y]) for x, y in ((where, self.end_at.x[state]), (n, self.end_n.x[state]), (own, order)))
+        o = np.argsort(own, kind="stable")
+        return self.flat.x[vec.expand(where[o], n[o])], np.bincount(own, n, len(size)).astype(np.int64)
+
+    def stream(self, s: bytes) -> Iterator[list[int]]:
+        """After each byte, and at the end, the tokens that are certain by then and were not before."""
+        state = np.zeros(1, np.int32)
         for x in s:
-            nxt = step.get(state << 8 | x)
-            if nxt is None:
-                nxt = self._make(state, x)
-            state, emit = nxt
-            if emit:
-                out += emit
-        return out + self.final[state]
+            go = self.moves(state, np.array([x], np.uint8))[0]
+            state[0] = self.to.x[go]
+            yield self.flat.x[self.at.x[go] : self.at.x[go] + self.n.x[go]].tolist()
+        yield self.flat.x[self.end_at.x[state[0]] : self.end_at.x[state[0]] + self.end_n.x[state[0]]].tolist()
 
 
 class Encoder:
-    """Token ids of whole Arrow chunks; the transducer runs once for each distinct pre-token that a worker meets."""
+    """Token ids of whole Arrow chunks; the transducer runs once for each distinct pre-token that a worker meets. Pre-tokens of
+    more than _LONG bytes, too few to be run side by side, are merged by the heap."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        merger = Merger(ranks)
-        self.machine = Transducer(merger, provable(merger))
-        self.decoder = Decoder(ranks)
+    def __init__(self, compiled: Compiled):
+        self.machine = Transducer(compiled)
+        self.decoder = Decoder(compiled)
         self._reset()
 
     def _reset(self) -> None:
-        self.map, self.used, self.known = vec.Lookup(18), 0, 0
-        self.flat = np.empty(1 << 18, np.int32)
-        self.off, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.map, self.flat, self.off, self.size = vec.Lookup(18), _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)
 
     def _learn(self, b: np.ndarray, key: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        got = [self.machine.encode(b[i:j].tobytes()) for i, j in zip(s.tolist(), e.tolist())]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter((t for g in got for t in g), np.int32, int(n.sum()))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.known + len(got) > len(self.off):
-            self.off, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.off, self.size))
-        self.flat[self.used : self.used + len(new)] = new
-        self.off[self.known : self.known + len(got)] = self.used + np.cumsum(n) - n
-        self.size[self.known : self.known + len(got)] = n
-        self.map.put(key, np.arange(self.known, self.known + len(got), dtype=np.int32))
-        self.used, self.known = self.used + len(new), self.known + len(got)
+        order = np.argsort(e - s, kind="stable")
+        key, s, e = key[order], s[order], e[order]
+        self.map.put(key, np.arange(self.off.n, self.off.n + len(key), dtype=np.int32))
+        short = int(np.searchsorted(e - s, _LONG, "right"))
+        for k in range(0, short, _ABREAST):
+            at = slice(k, min(short, k + _ABREAST))
+            new, n = self.machine.encode(b, s[at], e[at])
+            self._add(new, n)
+        for i, j in zip(s[short:].tolist(), e[short:].tolist()):
+            new = np.array(self.machine.c.merger.one(b[i:j].tobytes()), np.int32)
+            self._add(new, np.array([len(new)]))
+
+    def _add(self, new: np.ndarray, n: np.ndarray) -> None:
+        self.off.add(self.flat.n + np.cumsum(n) - n)
+        self.size.add(n)
+        self.flat.add(new)
 
     def chunk(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, how many each row has)."""
@@ -259,16 +393,16 @@ class Encoder:
         if (k < 0).any():
             miss = np.flatnonzero(k < 0)
             key, first = np.unique(np.where(h[miss] == 0, np.uint64(1), h[miss]), return_index=True)
-            if self.known and self.known + len(key) > _WORDS:  # start afresh, with all that this chunk needs
+            if self.off.n and self.off.n + len(key) > _WORDS:  # start afresh, with all that this chunk needs
                 self._reset()
                 miss = np.arange(len(h))
                 key, first = np.unique(np.where(h == 0, np.uint64(1), h), return_index=True)
             self._learn(b, key, s[miss[first]], e[miss[first]])
             k = self.map.get(h)
-        ids = self.flat[vec.expand(self.off[k], self.size[k])]
-        each = np.append(0, np.cumsum(self.size[k]))
+        size = self.size.x[k].astype(np.int64)
+        each = np.append(0, np.cumsum(size))
         ends = np.append(0, np.cumsum(n))
-        return ids, np.diff(each[ends])
+        return self.flat.x[vec.expand(self.off.x[k], size)], np.diff(each[ends])
 
 
 def _utf8_table() -> np.ndarray:
@@ -313,7 +447,8 @@ class Utf8Machine:
 
 
 class Decoder:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, compiled: Compiled):
+        ranks = compiled.merger.ranks
         top = max(ranks.values()) + 1
         self.name = [b""] * top
         for t, r in ranks.items():
@@ -340,19 +475,30 @@ class Decoder:
 _WORKER: dict[tuple, object] = {}
 
 
-def _once(kind: type, ranks: dict[bytes, int], key: str):
+def _once(kind: type, compiled: Broadcast, key: str):
     """One object per worker process and vocabulary."""
     if (kind, key) not in _WORKER:
-        _WORKER[kind, key] = kind(ranks)
+        _WORKER[kind, key] = kind(compiled.value)
     return _WORKER[kind, key]
 
 
+def _shared(docs: DataFrame, vocab: str) -> tuple[Broadcast, str]:
+    """The compiled vocabulary, broadcast, and what tells it from others. Its size is the vocabulary's, whatever the corpus."""
+    with open(vocab, "rb") as f:
+        key = hashlib.md5(f.read()).hexdigest()
+    if key not in _COMPILED:
+        _COMPILED[key] = Compiled(read_ranks(vocab))
+    return docs.sparkSession.sparkContext.broadcast(_COMPILED[key]), key
+
+
+_COMPILED: dict[str, Compiled] = {}
+
+
 class Counter:
     """Token counts: 1 at once for pre-tokens proved to be whole tokens, merging for each further distinct one."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.merger = Merger(ranks)
-        self.whole = provable(self.merger)
+    def __init__(self, compiled: Compiled):
+        self.merger, self.whole = compiled.merger, compiled.whole
         self._reset()
 
     def _reset(self) -> None:
@@ -387,10 +533,10 @@ def token_counts(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
 
     A null or empty text has no tokens. Repeated rows are counted one by one; rows without doc_id are left out.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocab))
+    compiled, key = _shared(docs, vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _once(Counter, ranks.value, vocab)
+        counter = _once(Counter, compiled, key)
         for batch in batches:
             for i, b, offs in vec.chunks(batch.column(1)):
                 got = counter.chunk(b, offs)
@@ -405,10 +551,10 @@ def encode(docs: DataFrame, vocab: str = VOCAB, check: bool = True) -> DataFrame
 
     A null text has null tokens, an empty one none. Repeated rows are encoded one by one; rows without doc_id are left out.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocab))
+    compiled, key = _shared(docs, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(Encoder, ranks.value, vocab)
+        encoder = _once(Encoder, compiled, key)
         for batch in batches:
             for i, b, offs in vec.chunks(batch.column(1)):
                 ids, n = encoder.chunk(b, offs)
@@ -426,10 +572,10 @@ def encode(docs: DataFrame, vocab: str = VOCAB, check: bool = True) -> DataFrame
 
 def decode(encoded: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """(doc_id, text) of (doc_id, tokens): ids that the vocabulary lacks are skipped, null tokens give a null text."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocab))
+    compiled, key = _shared(encoded, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _once(Decoder, ranks.value, vocab)
+        decoder = _once(Decoder, compiled, key)
         for batch in batches:
             out = [None if x.as_py() is None else decoder.text(np.asarray(x.values.fill_null(-1))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
