@@ -59,31 +59,47 @@ def sample(spark):
     return spark.read.parquet(f"{DIR}/documents.parquet")
 
 
-def test_itq_recall_and_edges(spark):
+def test_itq_classes_against_brute_force(spark):
+    """Near copies, equal copies, rows that match nothing, and an id with two vectors."""
     r = np.random.default_rng(0)
     base = r.normal(size=(300, 64))
     x = np.concatenate([base, base[:60] + r.normal(size=(60, 64)) * 0.15, base[:5], base[:5]])
     rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)]
-    rows += [(None, x[0].tolist(), 1, 2), (900, None, 1, 2), (901, [0.0] * 64, 1, 2), (902, [1.0], 1, 2), (903, [float("nan")] * 64, 1, 2), (904, [None] * 64, 1, 2), (0, x[0].tolist(), 1, 2)]
+    rows += [(None, x[0].tolist(), 1, 2), (900, None, 1, 2), (901, [0.0] * 64, 1, 2), (902, [1.0], 1, 2), (903, [float("nan")] * 64, 1, 2), (904, [None] * 64, 1, 2), (0, x[0].tolist(), 1, 2), (905, x[7].tolist(), 1, 2), (905, x[250].tolist(), 1, 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, code int, v int")
-    got = {(p.vec_id_a, p.vec_id_b) for p in itq.pairs(df).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.where(np.triu(u @ u.T >= itq.THRESHOLD, 1))
-    want = set(zip(a.tolist(), b.tolist()))
-    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 60
-    assert itq.keep_one(df).columns == df.columns
-    assert itq.pairs(df.limit(0)).count() == 0
-
-
-def test_close_codes_finds_all_within_radius(spark):
+    near = u @ u.T >= itq.THRESHOLD
+    rep = np.array([np.flatnonzero((x == v).all(1))[0] for v in x])
+    reps = np.unique(rep)
+    links = {int(i): {int(j) for j in reps if near[i, j] and i != j} for i in reps}
+    group = dict(zip(reps.tolist(), reps.tolist()))
+    for _ in range(10):
+        group = {i: min([group[i], *(group[j] for j in links[i])]) for i in group}
+    want = {i: (int(rep[i]), len(links[int(rep[i])]), group[int(rep[i])]) for i in range(len(x))} | {k: (k, 0, k) for k in range(900, 905)} | {905: (7, 1, 7)}
+    got = {p.vec_id: (p.class_id, p.n_links, p.group_id) for p in itq.classes(df).collect()}
+    assert got == want and sum(map(len, links.values())) > 100
+    pairs = {(p.vec_id_a, p.vec_id_b) for p in itq.pairs(df.filter("vec_id < 900")).collect()}
+    assert pairs == {(i, j) for i in links for j in links[i] if i < j}
+    stay = itq.keep_one(df)
+    assert stay.columns == df.columns and {p.vec_id for p in stay.collect()} - {None} == {i for i, w in want.items() if w[2] == i}
+    for f in (itq.pairs, itq.classes, itq.keep_one):
+        assert f(df.limit(0)).count() == 0 and f(df.limit(1)).count() == (f is not itq.pairs)
+
+
+@pytest.mark.parametrize("n", [2_000, 10**6, 10**8])
+def test_itq_recall_at_the_threshold(spark, n):
+    """1,000 pairs whose cosine is the threshold itself, in the tables that n classes would have."""
     r = np.random.default_rng(1)
-    c = r.integers(-(2**62), 2**62, 60)
-    c = np.unique(np.concatenate([c, *[c ^ (1 << r.integers(0, 62, len(c))) ^ (1 << r.integers(0, 62, len(c))) for _ in range(3)]]))
-    codes = spark.createDataFrame([(int(x),) for x in c], "code bigint")
-    for n in (100, 10**8):
-        got = {(x.c, x.d) for x in itq.close_codes(codes, 64, 6, n).collect()}
-        want = {(int(min(x, y)), int(max(x, y))) for i, x in enumerate(c) for y in c[:i] if bin(int(x ^ y) & (2**64 - 1)).count("1") <= 6}
-        assert got == want
+    x, y = r.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = itq.THRESHOLD * x + (1 - itq.THRESHOLD**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    v = np.stack([x, y], 1).reshape(-1, 64).astype(np.float32)
+    reps = spark.createDataFrame([(i, z.tobytes()) for i, z in enumerate(v)], "c bigint, v binary")
+    got = {(p.a, p.b) for p in itq.candidates(reps, 64, len(v), plan=itq.tables_for(n, 64)).collect()}
+    recall = sum((2 * i, 2 * i + 1) in got for i in range(1000)) / 1000
+    print(f"{n} classes: {itq.tables_for(n, 64)}, recall at the threshold {recall}")
+    assert recall >= 0.95
 
 
 def test_pii_gradient_and_accuracy():

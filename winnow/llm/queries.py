@@ -11,7 +11,7 @@ from winnow.llm.common import table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return itq.pairs(table(spark, sf_dir, "embeddings"))
+    return itq.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_embedding_near_dedup": """
-SELECT * FROM (
-  SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-WHERE similarity >= 0.95""",
+WITH RECURSIVE c AS (SELECT embedding, min(vec_id) AS class_id FROM embeddings WHERE vec_id IS NOT NULL GROUP BY embedding),
+p AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.class_id <> b.class_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95),
+g(id, seen) AS (SELECT class_id, class_id FROM c UNION SELECT p.b, g.seen FROM g JOIN p ON g.id = p.a),
+m AS (SELECT id, min(seen) AS group_id FROM g GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT e.vec_id, c.class_id, coalesce(n.n, 0) AS n_links, m.group_id
+FROM embeddings e JOIN c ON e.embedding = c.embedding JOIN m ON m.id = c.class_id LEFT JOIN n ON n.a = c.class_id
+WHERE e.vec_id IS NOT NULL""",
     "op4_source_mixing": """
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS tokens, md5('42:' || doc_id) AS key
