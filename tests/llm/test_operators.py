@@ -281,19 +281,66 @@ def _pgm(x):
     return f"P5\n{x.shape[1]} {x.shape[0]}\n255\n".encode() + np.clip(np.rint(x), 0, 255).astype(np.uint8).tobytes()
 
 
+def _field(r, side):
+    return media._resized(r.normal(128, 60, (1, side // 2, side // 2)).astype(np.float32), 2.0)[0]
+
+
 def test_media_crops_and_edits(spark):
     r = np.random.default_rng(0)
-    base = [media._resized(r.normal(128, 60, (1, 48, 48)).astype(np.float32), 2.0)[0] for _ in range(20)]
+    base = [_field(r, 96) for _ in range(20)]
     rows = []
     for i, x in enumerate(base):
         rows += [(i, _pgm(x), 1), (100 + i, _pgm(x[6:90, 10:]), 1), (200 + i, _pgm(x * 0.8 + 20 + r.normal(0, 2, x.shape)), 1), (300 + i, _pgm(np.rot90(x)), 1)]
-    rows += [(900, None, 1), (901, b"junk", 1), (902, _pgm(np.zeros((96, 96))), 1), (903, _pgm(np.ones((4, 4))), 1), (904, b"P5\n9", 1), (None, _pgm(base[0]), 1), (0, _pgm(base[0]), 1)]
+    rows += [(900, None, 1), (901, b"junk", 1), (902, _pgm(np.zeros((96, 96))), 1), (903, _pgm(np.ones((4, 4))), 1), (904, b"P5\n9", 1), (None, _pgm(base[0]), 1), (0, _pgm(base[0]), 1), (950, _pgm(base[3]), 1)]
     df = spark.createDataFrame(rows, "id bigint, image binary, key int")
     got = {(p.id_a, p.id_b) for p in media.copies(df).collect()}
     assert all(a % 100 == b % 100 for a, b in got)
     for k in (100, 200, 300):
         assert sum((i, i + k) in got for i in range(20)) >= 18
-    assert media.copies(df.limit(0)).count() == 0
+    seen = {p.id: p for p in media.classes(df).collect()}
+    assert set(seen) == {i for i, *_ in rows if i is not None}
+    for i, p in seen.items():
+        assert p.class_id == (3 if i == 950 else i) and p.n_links == sum(p.class_id in x for x in got)
+    assert all(seen[i].group_id == i and seen[i].n_links == 0 for i in range(900, 905)) and seen[950].group_id == seen[3].group_id == 3
+    assert media.copies(df.limit(0)).count() == 0 and media.classes(df.limit(0)).count() == 0
+
+
+def test_media_against_brute_force(spark):
+    """Pairs of an image and its edits, by the strength of the noise added: tables find no other than comparing all descriptors
+    does, and at least 0.9 of them up to a strength of 0.15 of the image's contrast, half of them at 0.25."""
+    r = np.random.default_rng(2)
+    images, strengths = [], (0, 0.05, 0.1, 0.15, 0.25)
+    for _ in range(25):
+        x = _field(r, 96)
+        images += [x + r.normal(0, 60, (48, 48)).repeat(2, 0).repeat(2, 1) * k for k in strengths]
+    df = spark.createDataFrame([(i, _pgm(x)) for i, x in enumerate(images)], "id bigint, image binary")
+    own, place, desc = media.features(np.stack([media.grey(_pgm(x)) for x in images]))
+    bits = np.unpackbits(np.ascontiguousarray(desc).view(np.uint8).reshape(len(desc), -1), axis=1).astype(np.float32)
+    near = bits @ (1 - bits.T)
+    near = near + near.T <= media.MAX_BITS
+    at, want = media._packed(place), set()
+    for i in range(len(images)):
+        for j in range(i):
+            p, q = np.nonzero(near[np.ix_(own == j, own == i)])
+            if len(p) >= media.MIN_INLIERS and media._inliers(at[own == j][p], at[own == i][q]) >= media.MIN_INLIERS:
+                want.add((j, i))
+    got = {(p.id_a, p.id_b) for p in media.copies(df).collect()}
+    assert got <= want and all(i // 5 == j // 5 for i, j in want)
+    for k in range(1, 5):
+        all_, found = ({p for p in x if p[1] % 5 == k} for x in (want, got))
+        print(f"noise {strengths[k]}: {len(found)} of {len(all_)} pairs, {25 * k} made")
+        assert len(found) >= (0.9 if k < 4 else 0.5) * len(all_) and len(all_) >= 0.7 * 25 * k
+
+
+def test_media_small_crops_of_large_images(spark):
+    r = np.random.default_rng(3)
+    images = [_field(r, 480) for _ in range(4)]
+    rows = [(i, _pgm(x)) for i, x in enumerate(images)] + [(10 + i, _pgm(x[100 + i : 340 + i, 150:390])) for i, x in enumerate(images)]
+    wide = np.tile(r.normal(128, 20, (64, 4600)), 1)
+    wide[:, 4300:4396] = _field(r, 96)[:64]
+    rows += [(50, _pgm(wide)), (51, _pgm(wide[:, 4250:4450]))]
+    got = {(p.id_a, p.id_b) for p in media.copies(spark.createDataFrame(rows, "id bigint, image binary")).collect()}
+    assert got == {(i, 10 + i) for i in range(4)} | {(50, 51)}
 
 
 def test_png():
@@ -312,6 +359,12 @@ def test_png():
             coded = (line.astype(int) - guess).astype(np.uint8)
         raw, up = raw + bytes([y]) + coded.tobytes(), line
     part = lambda k, d: len(d).to_bytes(4, "big") + k + d + bytes(4)
+    deep = b"".join(b"\0" + x[y].astype(">u2").__lshift__(8).astype(">u2").tobytes() for y in range(5))
+    data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([16, 2, 0, 0, 0])) + part(b"IDAT", zlib.compress(deep)) + part(b"IEND", b"")
+    assert np.allclose(media.grey(data), x @ np.array([0.299, 0.587, 0.114]), atol=1e-3)
+    index = np.arange(35, dtype=np.uint8).reshape(5, 7)
+    data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([8, 3, 0, 0, 0])) + part(b"PLTE", x.reshape(-1, 3).tobytes()) + part(b"IDAT", zlib.compress(b"".join(b"\0" + y.tobytes() for y in index))) + part(b"IEND", b"")
+    assert np.allclose(media.grey(data), x @ np.array([0.299, 0.587, 0.114]), atol=1e-3)
     data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
     assert np.allclose(media.grey(data), x @ np.array([0.299, 0.587, 0.114]), atol=1e-3)
 

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where it names none, in local mode, one of our own. On a
+    cluster that names none this is an error: executors do not share a machine's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    named = named or tempfile.mkdtemp(prefix="winnow-checkpoint-")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="winnow-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -62,3 +66,21 @@ def groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group")).union(edges.select(F.col("v"), F.col("v")).distinct())
+
+
+def class_report(every: DataFrame, members: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, n_links, group_id) of each id of every (id).
+
+    members (id, h): an id's class is known by h; reps (c, h, rep): the classes, numbered, and their least ids; links (a, b): distinct
+    pairs of class numbers. An id with several classes has the least class and group and the most links; one without is its own.
+    """
+    links = cut(links)
+    n = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("n"))
+    found = reps.join(n, "c", "left").join(groups(links).select(F.col("id").alias("c"), "group"), "c", "left")
+    found = cut(found.select("h", "rep", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("group", "c").alias("group")))
+    least = found.groupBy("group").agg(F.min("rep").alias("least"))
+    known = members.join(found, "h").join(least, "group").select("id", "rep", "n", "least")
+    none = F.lit(None).cast("bigint")
+    blank = every.select("id", none.alias("rep"), F.lit(0).cast("bigint").alias("n"), none.alias("least"))
+    one = known.union(blank).groupBy("id").agg(F.min("rep").alias("rep"), F.max("n").alias("n"), F.min("least").alias("least"))
+    return one.select("id", F.coalesce("rep", "id").alias("class_id"), F.col("n").alias("n_links"), F.coalesce("least", "id").alias("group_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, groups
+from winnow.llm.common import class_report, cut
 
 THRESHOLD, MISS, FIT_ROWS, ITERATIONS, SEED = 0.95, 0.01, 1 << 16, 10, 42
 _NARROW, _BROAD, _BLOCK = 12, 38, 1 << 11
@@ -159,17 +159,10 @@ def classes(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_i
     rows, dim = unit_vectors(table, id_col, vec_col)
     rows = cut(rows)
     reps = _classes(rows)
-    links = cut(_linked(reps, dim, threshold).select("a", "b"))
-    n = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("n"))
-    found = reps.select("c", "rep", F.md5("v").alias("h")).join(n, "c", "left").join(groups(links).select(F.col("id").alias("c"), "group"), "c", "left").withColumn("group", F.coalesce("group", "c"))
-    found = found.select("h", "rep", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "group")
-    found = cut(found)
-    least = found.groupBy("group").agg(F.min("rep").alias("least"))
-    known = rows.select("id", F.md5("v").alias("h")).join(found, "h").join(least, "group").select("id", "rep", "n", "least")
+    links = _linked(reps, dim, threshold).select("a", "b")
     every = table.select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL")
-    blank = every.select("id", F.lit(None).cast("bigint").alias("rep"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("least"))
-    one = known.union(blank).groupBy("id").agg(F.min("rep").alias("rep"), F.max("n").alias("n"), F.min("least").alias("least"))
-    return one.select(F.col("id").alias("vec_id"), F.coalesce("rep", "id").alias("class_id"), F.col("n").alias("n_links"), F.coalesce("least", "id").alias("group_id"))
+    report = class_report(every, rows.select("id", F.md5("v").alias("h")), reps.select("c", F.md5("v").alias("h"), "rep"), links)
+    return report.withColumnRenamed("id", "vec_id")
 
 
 def keep_one(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

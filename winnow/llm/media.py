@@ -1,39 +1,47 @@
 """Media columns: copies of images, cropped or edited, by local descriptors.
 
-Images (binary PGM, PPM or 8-bit PNG) are read as grey levels. On three scales Harris corners are taken (KEYPOINTS per
-image, the strongest of each scale); each has an orientation, that of its patch's intensity centroid, and a descriptor of
-BITS comparisons of smoothed points, rotated to that orientation. Descriptors are cut into TABLES of 31 bits; two images'
-descriptors that agree in a table and differ in at most MAX_BITS match, and each match counts once, in the first table
-where it is found. Matches of a pair of images then vote: each proposes a similarity transform (scale, turn, shift), and
-the pair is a copy if MIN_INLIERS matches with distinct places on either side agree with one transform within TOLERANCE.
-
-Every image meets every other through the tables; no candidate is capped. A row in the join is 48 bytes.
-
-Defined results: a null, unreadable, too small or featureless image matches nothing. Repeated rows of one id count as one
-image that has all their features; an id never matches itself. Ties in corner strength go to the upper, then the left one.
-Rows without id are left out; empty input gives no rows.
+Images (binary PGM, PPM or PNG of 8 or 16 bits, not interlaced) are read as grey levels. On three scales Harris corners are
+taken, the strongest ones, a fixed number for every stretch of area (SCALES); each has an orientation, that of its patch's
+intensity centroid, and descriptors of BITS comparisons of smoothed points, rotated to the two nearest of _TURNS orientations,
+so that two corners whose orientation falls on either side of a bound still share one. Descriptors are cut into TABLES of
+WIDTH bits; two images' descriptors that agree in a table and differ in at most MAX_BITS match, and each match counts once, in the
+first table where it is found. Matches of a pair of images then vote: each proposes a similarity transform (scale, turn, shift),
+and the pair is linked if MIN_INLIERS matches with distinct places on either side agree with one transform within TOLERANCE.
+
+Images with equal features are one class, and classes are compared: copies are not expanded into pairs. Every class meets every
+other through the tables; no candidate is capped. A row in the join is 48 bytes.
+
+Defined results: a null, unreadable, too small or featureless image is its own class and group, without links. Of one id's rows
+with different images each is in a class of its own; the id has the least of their classes and groups, and the most links.
+Ties in corner strength go to the upper, then the left one. Rows without id are left out; empty input gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLES, BITS, MAX_BITS, MIN_INLIERS, TOLERANCE, SEED = 6, 186, 30, 5, 5.0, 42
-SCALES = ((1.0, 8), (2**-0.5, 6), (0.5, 4))
-KEYPOINTS = sum(k for _, k in SCALES)
-_R, _TURNS = 8, 32
+from winnow.llm.common import class_report, cut
+
+TABLES, WIDTH, MAX_BITS, MIN_INLIERS, TOLERANCE, SEED = 8, 23, 30, 5, 5.0, 42
+BITS, _WORD = TABLES * WIDTH, 62  # a descriptor lies in three int64 of 62 bits
+#: Scales, and the pixels of the scaled image for which there is one corner: 8, 6 and 4 corners for 96 x 96 pixels.
+SCALES = ((1.0, 1152), (2**-0.5, 768), (0.5, 576))
+_R, _TURNS = 12, 32
+_PIXELS = 1 << 20  # pixels of images described at once; a larger image is alone
 
 
 def _pattern() -> np.ndarray:
     """turns x BITS x 2 points x (dy, dx)."""
     r = np.random.default_rng(SEED)
-    p = np.clip(r.normal(0, 3.2, (BITS, 2, 2)), -_R + 1.5, _R - 1.5)
+    p = np.clip(r.normal(0, 6.0, (BITS, 2, 2)), -_R + 1.5, _R - 1.5)
     p *= np.minimum(1, (_R - 1) / np.maximum(np.linalg.norm(p, axis=2, keepdims=True), 1e-9))
     a = np.arange(_TURNS) * 2 * np.pi / _TURNS
     c, s = np.cos(a)[:, None, None], np.sin(a)[:, None, None]
@@ -44,16 +52,17 @@ _PATTERN = _pattern()
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, head, body = 8, b"", b""
+    at, head, body, palette = 8, b"", b"", b""
     while at < len(data):
         n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + n]
         head, body = part if kind == b"IHDR" else head, body + part if kind == b"IDAT" else body
+        palette = part if kind == b"PLTE" else palette
         at += 12 + n
     w, h, depth, colour, lace = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
-    bands = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or lace:
-        raise ValueError("8 bits, not interlaced")
+    if depth not in (8, 16) or lace:
+        raise ValueError("8 or 16 bits, not interlaced")
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour] * (depth // 8)  # bytes of a pixel
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * bands)
     out, up = np.empty((h, w * bands), np.uint8), np.zeros(w * bands, np.uint8)
     for y in range(h):
@@ -75,7 +84,10 @@ def _png(data: bytes) -> np.ndarray:
                     guess = min((abs(q - a), 0, a), (abs(q - b), 1, b), (abs(q - c), 2, c))[2]
                 now[i] = (int(line[i]) + guess) & 255
         out[y] = up = now
-    out = out.reshape(h, w, bands)
+    out = out.reshape(h, w, bands)[..., :: depth // 8]  # of 16 bits the upper 8
+    bands //= depth // 8
+    if colour == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[out[..., 0]]
     return out[..., :3] if bands >= 3 else out[..., :1]
 
 
@@ -138,9 +150,10 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
 def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(image, x y scale turn, descriptor as 3 int64) of the keypoints of images of one size."""
     own, place, bits = [], [], []
-    for scale, most in SCALES:
+    for scale, per in SCALES:
         x = _resized(images, scale)
         b, h, w = x.shape
+        most = -(-h * w // per)
         m = _R + 1
         if h <= 2 * m or w <= 2 * m:
             continue
@@ -164,7 +177,8 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         disc = (d[:, None] ** 2 + d**2 <= _R * _R).astype(np.float32)
         patch = soft[i[:, None, None], y[:, None, None] + d[:, None], xs[:, None, None] + d] * disc
         turn = np.arctan2((patch * d[:, None].astype(np.float32)).sum((1, 2)), (patch * d.astype(np.float32)).sum((1, 2)))
-        q = np.rint(turn / (2 * np.pi) * _TURNS).astype(int) % _TURNS
+        q = np.floor(turn / (2 * np.pi) * _TURNS).astype(int) % _TURNS
+        q, i, y, xs, turn = np.concatenate([q, (q + 1) % _TURNS]), np.tile(i, 2), np.tile(y, 2), np.tile(xs, 2), np.tile(turn, 2)
         blur = _box(soft, 1)
         o = _PATTERN[q]
         v = blur[i[:, None, None], y[:, None, None] + o[..., 0], xs[:, None, None] + o[..., 1]]
@@ -173,13 +187,15 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bits.append(v[..., 0] < v[..., 1])
     if not own:
         return np.empty(0, np.int64), np.empty((0, 4)), np.empty((0, 3), np.int64)
-    bit = np.concatenate(bits).reshape(-1, 3, 62).astype(np.uint64)
-    return np.concatenate(own), np.concatenate(place), (bit << np.arange(62, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+    bit = np.pad(np.concatenate(bits), ((0, 0), (0, 3 * _WORD - BITS))).reshape(-1, 3, _WORD).astype(np.uint64)
+    return np.concatenate(own), np.concatenate(place), (bit << np.arange(_WORD, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def _packed(place: np.ndarray) -> np.ndarray:
-    """x, y (1/8 pixel below 4096), scale level and turn (1/4096) in an int64."""
-    x, y = (np.clip(np.rint(place[:, k] * 8), 0, 32767).astype(np.int64) for k in (0, 1))
+    """x, y (1/8 pixel, below 131,072), scale level and turn (1/4096) in an int64."""
+    x, y = (np.rint(place[:, k] * 8).astype(np.int64) for k in (0, 1))
+    if len(place) and max(x.max(), y.max()) >> 20:
+        raise ValueError("an image is wider or higher than 131,071 pixels")
     level = np.rint(-2 * np.log2(place[:, 2])).astype(np.int64)
     turn = np.rint(place[:, 3] / (2 * np.pi) * 4096).astype(np.int64) % 4096
     return x << 40 | y << 20 | level << 14 | turn
@@ -189,26 +205,60 @@ def _unpacked(g: np.ndarray) -> tuple[np.ndarray, ...]:
     return (g >> 40) / 8, (g >> 20 & 0xFFFFF) / 8, 2.0 ** (-(g >> 14 & 63) / 2), (g & 4095) * 2 * np.pi / 4096
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_POINT = np.dtype([("at", "<i8"), ("d", "<i8", 3)])
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, features: the points of an image, sorted) of batches of (id, image); of an image without, nothing."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            ids = part.column(0).to_numpy()
-            read = [grey(x.as_py()) for x in part.column(1)]
-            by: dict[tuple, list[int]] = {}
-            for i, x in enumerate(read):
-                if x is not None:
-                    by.setdefault(x.shape, []).append(i)
-            for which in by.values():
-                own, place, desc = features(np.stack([read[i] for i in which]))
-                at = _packed(place)
-                n = len(own)
-                if not n:
-                    continue
-                own = ids[np.array(which)[own]]
-                key = np.concatenate([(desc[:, t // 2] >> (31 * (t % 2)) & 0x7FFFFFFF) | t << 32 for t in range(TABLES)])
-                again = np.tile(np.arange(n), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[again]), pa.array(at[again]), *(pa.array(desc[again, k]) for k in range(3))], names=["key", "id", "at", "d0", "d1", "d2"])
+        by: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+        for id_, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            pixels = grey(x.as_py())
+            if pixels is not None:
+                own = by.setdefault(pixels.shape, [])
+                own.append((id_, pixels))
+                if len(own) * pixels.size >= _PIXELS:
+                    yield _points(by.pop(pixels.shape))
+        for own in by.values():
+            yield _points(own)
+
+
+def _points(images: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    own, place, desc = features(np.stack([x for _, x in images]))
+    points = np.empty(len(own), _POINT)
+    points["at"], points["d"] = _packed(place), desc
+    order = np.lexsort((desc[:, 2], desc[:, 1], desc[:, 0], points["at"], own))
+    edge = np.searchsorted(own[order], np.arange(len(images) + 1))
+    blobs = [points[order[i:j]].tobytes() for i, j in zip(edge, edge[1:])]
+    there = [k for k, x in enumerate(blobs) if x]
+    return pa.RecordBatch.from_arrays([pa.array([images[k][0] for k in there], pa.int64()), pa.array([blobs[k] for k in there], pa.binary())], names=["id", "f"])
+
+
+def _masks(t: int) -> list[tuple[int, int]]:
+    """(word, mask) of the bits of table t."""
+    mask = ((1 << WIDTH) - 1) << (WIDTH * t)
+    return [(w, m) for w in range(3) if (m := mask >> (_WORD * w) & ((1 << _WORD) - 1))]
+
+
+def _part(desc: np.ndarray, t: int) -> np.ndarray:
+    """The bits of table t of each descriptor."""
+    w, s = divmod(WIDTH * t, _WORD)
+    key = desc[:, w] >> s
+    if s + WIDTH > _WORD:
+        key = key | desc[:, w + 1] << (_WORD - s)
+    return key & ((1 << WIDTH) - 1)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            blobs = part.column(1).to_pylist()
+            points = np.frombuffer(b"".join(blobs), _POINT)
+            own = np.repeat(part.column(0).to_numpy(), [len(x) // _POINT.itemsize for x in blobs])
+            at, desc = points["at"], points["d"]
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([pa.array(_part(desc, t) | t << 32), pa.array(own), pa.array(np.ascontiguousarray(at)), *(pa.array(np.ascontiguousarray(desc[:, j])) for j in range(3))], names=["key", "id", "at", "d0", "d1", "d2"])
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,30 +294,54 @@ def _inliers(p: np.ndarray, q: np.ndarray) -> int:
     return best
 
 
-def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", prepare: Callable | None = None) -> DataFrame:
-    """(id_a, id_b, inliers) of the pairs a < b of images that show the same.
-
-    `prepare` turns Arrow batches of (id, image_col) into batches of (id, image) within the same task, so that images made
-    from something smaller never pass through the JVM. For stored images spark.sql.execution.arrow.maxRecordsPerBatch
-    should keep a batch of them within an executor's memory.
-    """
+def _classes(images: DataFrame, id_col: str, image_col: str, prepare: Callable | None) -> tuple[DataFrame, DataFrame]:
+    """(id, f) of the images that have features, and (c, f, rep): the distinct features, numbered, with the least id of each."""
     rows = images.select(F.col(id_col).cast("bigint").alias("id"), F.col(image_col).alias("image")).filter("id IS NOT NULL")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(prepare(batches) if prepare else batches)
+        yield from _described(prepare(batches) if prepare else batches)
 
-    rows = rows.mapInArrow(described, "key bigint, id bigint, at bigint, d0 bigint, d1 bigint, d2 bigint")
+    members = cut(rows.mapInArrow(described, "id bigint, f binary"))
+    return members, cut(members.groupBy("f").agg(F.min("id").alias("rep")).select(F.monotonically_increasing_id().alias("c"), "f", "rep"))
+
+
+def _linked(reps: DataFrame) -> DataFrame:
+    """(id_a, id_b, inliers) of the linked classes, a < b."""
+    rows = reps.select("c", "f").mapInArrow(_keyed, "key bigint, id bigint, at bigint, d0 bigint, d1 bigint, d2 bigint")
     x, y = rows.alias("x"), rows.alias("y")
     apart = [F.col(f"x.d{k}").bitwiseXOR(F.col(f"y.d{k}")) for k in range(3)]
     near = sum((F.bit_count(d) for d in apart), F.lit(0)) <= MAX_BITS
     table, first = F.shiftright(F.col("x.key"), 32), F.lit(None).cast("int")
     for t in reversed(range(TABLES)):
-        first = F.when(apart[t // 2].bitwiseAND(F.lit(0x7FFFFFFF << 31 * (t % 2))) == 0, F.lit(t)).otherwise(first)
+        same = [apart[w].bitwiseAND(F.lit(m)) == 0 for w, m in _masks(t)]
+        first = F.when(reduce(and_, same), F.lit(t)).otherwise(first)
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near & (table == first))
     pairs = found.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.collect_list(F.struct(F.col("x.at").alias("p"), F.col("y.at").alias("q"))).alias("m"))
     return pairs.filter(F.size("m") >= MIN_INLIERS).mapInArrow(_consensus, "id_a bigint, id_b bigint, inliers int")
 
 
+def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", prepare: Callable | None = None) -> DataFrame:
+    """(id_a, id_b, inliers) of the linked classes, each by its least id, a < b; of several rows of two ids the most inliers count.
+
+    `prepare` turns Arrow batches of (id, image_col) into batches of (id, image) within the same task, so that images made
+    from something smaller never pass through the JVM. For stored images spark.sql.execution.arrow.maxRecordsPerBatch
+    should keep a batch of them within an executor's memory.
+    """
+    _, reps = _classes(images, id_col, image_col, prepare)
+    named = reps.select("c", "rep")
+    both = _linked(reps).join(named.select(F.col("c").alias("id_a"), F.col("rep").alias("x")), "id_a").join(named.select(F.col("c").alias("id_b"), F.col("rep").alias("y")), "id_b").filter("x <> y")
+    return both.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("inliers").alias("inliers"))
+
+
+def classes(images: DataFrame, id_col: str = "id", image_col: str = "image", prepare: Callable | None = None) -> DataFrame:
+    """(id, class_id, n_links, group_id) of each id: the least id whose image has equal features, the number of other classes that
+    its class is linked with, and the least id that links lead to. For `prepare` see copies()."""
+    members, reps = _classes(images, id_col, image_col, prepare)
+    links = _linked(reps).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    every = images.select(F.col(id_col).cast("bigint").alias("id")).filter("id IS NOT NULL")
+    return class_report(every, members.select("id", F.md5("f").alias("h")), reps.select("c", F.md5("f").alias("h"), "rep"), links)
+
+
 def drawer(side: int = 96, cells: int = 48, seed: int = SEED) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Turns batches of (id, 64-number vector) into (id, PGM picture): a fixed random map makes a field of cells x cells of
     the vector, which is shaded to side x side pixels, so that close vectors give pictures with small edits. Null where a

@@ -36,7 +36,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds media; the picture of every vector of embeddings stands in for a media column."""
-    return media.copies(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.drawer())
+    return media.classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.drawer())
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
