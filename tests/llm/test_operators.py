@@ -165,10 +165,47 @@ def test_mixing_against_brute_force(spark, sample):
         if n > budget:
             break
         want.append(i)
-    assert sorted(r.doc_id for r in mixing.mix(sample, weights, budget_tokens=budget).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in mixing.mix(sample, weights, 0, budget_tokens=budget).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in mixing.mixed_documents(sample, weights, 0, budget_tokens=budget).collect()) == sorted(want)
     assert mixing.mix(sample, budget_tokens=0).filter("tokens > 0").count() == 0
 
 
+def _mixed(rows, weights, other, budget):
+    """The documents (doc_id, text, source) that weighted fair queueing takes, one by one."""
+    order = {}
+    for i, t, s in rows:
+        if i is not None and weights.get(s or "", other) > 0:
+            order.setdefault(s or "", []).append((hashlib.md5(f"42:{i}".encode()).hexdigest(), i, len((t or "").split()), t))
+    timed = []
+    for s, q in order.items():
+        n = 0
+        for _, i, k, t in sorted(q, key=lambda x: x[:3]):
+            n += k
+            timed.append((n / weights.get(s, other), i, k, t, s))
+    out, n = [], 0
+    for f, i, k, t, s in sorted(timed, key=lambda x: x[:3]):
+        n += k
+        if n > budget:
+            break
+        out.append((i, t, s))
+    return out
+
+
+def test_mixed_documents_keeps_the_budget(spark):
+    """Repeated rows, repeated ids, ties, nulls, a hot source; the budget ends between equal rows."""
+    same = [(7, "two words", "hot")] * 50
+    rows = same + [(i, f"w{i} " * (i % 5), ("hot", "b", None)[i % 3]) for i in range(20, 60)] + [(3, "a", "b"), (3, "b b", "b"), (3, None, "b"), (None, "x y", "b"), (4, "a b", "c"), (5, "c d", "d"), (6, "  \n ", "d")]
+    df = docs_of(spark, rows)
+    for budget in (0, 1, 20, 21, 63, 10**6):
+        for weights, other in (({}, 1.0), ({"hot": 30.0, "b": 0.0, "": 2.0}, 0.5)):
+            want = _mixed(rows, weights, other, budget)
+            got = [(r.doc_id, r.text, r.source) for r in mixing.mixed_documents(df, weights, other, budget_tokens=budget).collect()]
+            words = lambda x: sorted((i, len((t or "").split()), s or "") for i, t, s in x)
+            assert words(got) == words(want)
+            assert sum(len((t or "").split()) for _, t, _ in got) <= budget
+    assert len(mixing.mixed_documents(docs_of(spark, same), budget_tokens=20).collect()) == 10
+
+
 def test_licenses_against_brute_force(sample):
     rows = sample.collect() + []
     texts = [r.text for r in rows] + ["x " * 50 + t for _, t in licenses.TEMPLATES] + ["Permission is hereby granted", None, ""]

@@ -23,7 +23,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,8 @@ WHERE e.vec_id IS NOT NULL""",
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS tokens, md5('42:' || doc_id) AS key
   FROM documents WHERE doc_id IS NOT NULL),
-f AS (SELECT doc_id, source, tokens, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1.0 AS finish FROM t),
+f AS (SELECT doc_id, source, tokens, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+  / CASE source WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 1.5 WHEN 'src4' THEN 0.5 WHEN 'src6' THEN 3.0 ELSE 1.0 END AS finish FROM t),
 r AS (SELECT *, sum(tokens) OVER (ORDER BY finish, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS run, sum(tokens) OVER () AS total FROM f)
 SELECT doc_id, source, tokens, finish FROM r WHERE run <= floor(0.5 * total)""",
     "op8_line_dedup": """
