@@ -87,8 +87,11 @@ def _entity(r: np.random.Generator) -> tuple[str, str, str, str]:
         mixed = string.ascii_letters + string.digits
         if k < 4:
             return kind, f"{name}{eq}{quote}", hexa, quote
-        if k == 4:
+        if k == 4 and r.integers(0, 2):
             return kind, f"{name}{eq}{quote}", _chars(r, int(r.integers(16, 40)), mixed) + _digits(r, 1), quote
+        if k == 4:
+            value = _chars(r, int(r.integers(10, 40)), string.ascii_letters) if r.integers(0, 2) else "".join(_SYLLABLES[i] for i in r.integers(0, 30, r.integers(5, 10)))
+            return kind, f"{name}{eq}{quote}", value, quote
         span = (f"AKIA{_chars(r, 15, string.ascii_uppercase + string.digits)}{_digits(r, 1)}", f"ghp_{_chars(r, 35, mixed)}{_digits(r, 1)}", f"sk-{_chars(r, 30, mixed)}{_digits(r, 1)}")[k - 5]
     return kind, "", span, ""
 
@@ -114,6 +117,8 @@ def labelled(n: int, seed: int = SEED, length: int = LENGTH) -> tuple[np.ndarray
                 kind, before, span, after = _entity(r)
             elif u < rate + 0.08:
                 before = _number(r)
+            elif u < rate + 0.11:  # assignments of what is no secret
+                before = _word(r) + (" = ", "=", ": ", ":")[int(r.integers(0, 4))] + ('"', "'", "", "")[int(r.integers(0, 4))] + _word(r)
             else:
                 before = _word(r)
             if junk:
@@ -319,8 +324,10 @@ def reconcile(found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, i
     return out[::-1]
 
 
-_SIGN = np.zeros(256, bool)
+_SIGN, _ASSIGN, _NEAR = np.zeros(256, bool), np.zeros(256, bool), 4
 _SIGN[[*range(48, 58), 64]] = True
+_ASSIGN[[58, 61]] = True
+_ABREAST = 512  # windows decoded together: their states stay in the cache
 
 
 def find(tagger: Tagger, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -328,7 +335,7 @@ def find(tagger: Tagger, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, int
     lead = np.flatnonzero((b & 0xC0) != 0x80)
     sym = np.minimum(b[lead], _WIDE).astype(np.uint8)
     edge = np.searchsorted(lead, offs)
-    sign = np.flatnonzero(_SIGN[sym])
+    sign = np.flatnonzero(_SIGN[sym] | _ASSIGN[sym])
     if not len(sign):
         return []
     row = np.searchsorted(edge, sign, "right") - 1
@@ -338,15 +345,16 @@ def find(tagger: Tagger, b: np.ndarray, offs: np.ndarray) -> list[tuple[int, int
     last = np.maximum(0, -(-(size - WINDOW) // step))  # the window that reaches the row's end
     pairs = np.unique(np.concatenate([np.stack([row, np.minimum(k, last[row])], 1), np.stack([row, np.minimum(np.maximum(k - 1, 0), last[row])], 1)]), axis=0)
     spans: dict[int, list] = {}
-    seen = np.append(0, np.cumsum(_SIGN[sym]))
-    for i in range(0, len(pairs), 2048):
-        r, w = pairs[i : i + 2048].T
+    seen, assigned = np.append(0, np.cumsum(_SIGN[sym])), np.append(0, np.cumsum(_ASSIGN[sym]))
+    for i in range(0, len(pairs), _ABREAST):
+        r, w = pairs[i : i + _ABREAST].T
         at = edge[r] + w * step
         place = at[:, None] + np.arange(WINDOW)
         window = np.where(place < edge[r + 1][:, None], sym[np.minimum(place, len(sym) - 1)], _PAD).astype(np.uint8)
         x, s, e, kind = spans_of(tagger.decode(window))
         s, e = at[x] + s, np.minimum(at[x] + e, edge[r[x] + 1])
-        ok = (e > s) & (seen[np.maximum(e, s)] > seen[s])
+        before = np.maximum(s - _NEAR, edge[r[x]])
+        ok = (e > s) & ((seen[np.maximum(e, s)] > seen[s]) | (assigned[s] > assigned[before]))
         cut = (s == at[x]) & (w[x] > 0) | (e == at[x] + WINDOW) & (e < edge[r[x] + 1])
         for a, z, kd, c, q in zip(s[ok].tolist(), e[ok].tolist(), kind[ok].tolist(), cut[ok].tolist(), r[x[ok]].tolist()):
             spans.setdefault(q, []).append((a - int(edge[q]), z - int(edge[q]), kd, c))
