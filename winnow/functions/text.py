@@ -21,7 +21,7 @@ TYPE_RULES = (
 
 #: Risk groups in the order in which they are reported.
 RISK_RULES = (
-    ("counting", "count|how many|number of"),
+    ("counting", "count|how many|number of|total number"),
     ("math", "%|compare|difference|kinetic energy|percent|probability|ratio|total"),
     ("diagram", "allele|chart|diagram|food web|genotype|lattice|phenotype|punnett|table"),
     ("inference", "cause|environment|function|habitat|indicating|kind of|likely|might|purpose|type of|use for|used for|why"),
@@ -152,8 +152,9 @@ def caption(c: Column) -> Column:
     return F.coalesce(named, F.when(t != "", F.left(t, F.lit(200))))
 
 
-def short_hash(c: Column, n: int = 12) -> Column:
-    return F.left(F.md5(c), F.lit(n))
+def short_hash(c: Column, n: int = 12, first_bytes: int | None = None) -> Column:
+    """The first n hexadecimal digits of the md5 of a text or binary, or of its first bytes in UTF-8."""
+    return F.left(F.md5(c if first_bytes is None else F.substring(c.cast("binary"), 1, first_bytes)), F.lit(n))
 
 
 def rater_label(c: Column) -> Column:
@@ -193,6 +194,23 @@ def paragraphs(c: Column, least: int = 10) -> Column:
     return F.filter(F.transform(F.split(c, r"\n+"), strip), lambda x: F.length(x) >= least)
 
 
+def _turn(role: str, messages: Column) -> Column:
+    return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]
+
+
+def sample_question(question: Column, messages: Column) -> Column:
+    """A sample's question, else its user's turn without image marks; "" where neither is there. For the metrics' order."""
+    return F.coalesce(F.nullif(question, F.lit("")), strip(F.regexp_replace(_turn("user", messages), r"<image>\s*", "")), F.lit(""))
+
+
+def sample_answer(answer: Column, messages: Column) -> Column:
+    return F.coalesce(F.nullif(answer, F.lit("")), _turn("assistant", messages), F.lit(""))
+
+
+def sample_image(image_path: Column, images: Column) -> Column:
+    return F.coalesce(F.nullif(image_path, F.lit("")), F.get(images, F.lit(0)), F.lit(""))
+
+
 def first_field(*columns: Column) -> Column:
     """The first that is neither null nor "", stripped afterwards: one of blanks only counts and gives ""."""
     return strip(F.coalesce(*[F.nullif(c, F.lit("")) for c in columns]))

@@ -7,19 +7,23 @@ in rounds over the verified pairs alone: a row with no open or kept earlier neig
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
 from winnow.operators.order import cut
 
-PERMUTATIONS, SIMILAR, BANDS = 128, 0.8, 26
+PERMUTATIONS, SIMILAR = 128, 0.8
 IMAGE_BITS, IMAGE_BANDS = 8, 8
+_SHINGLES, _KNOWN, _HASHES = 1 << 17, {}, np.empty((1 << 10, PERMUTATIONS), np.uint32)
+_PREFIXES = [f"{i}_".encode() for i in range(PERMUTATIONS)]
 
 
 def keep_first(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
@@ -29,26 +33,45 @@ def keep_first(df: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
 
 
 def _minhashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, np.ndarray] = {}
+    """A worker hashes each distinct shingle once; _SHINGLES of them are remembered at a time, which changes no result."""
+    global _HASHES
     for batch in batches:
         out = []
         for parts in batch["shingles"]:
-            if len(known) > 200_000:
-                known.clear()
+            if len(_KNOWN) > _SHINGLES:
+                _KNOWN.clear()
+            at = np.fromiter(map(_KNOWN.get, parts, repeat(-1)), np.int64, len(parts))
+            for k in np.flatnonzero(at < 0):
+                n = at[k] = _KNOWN[parts[k]] = len(_KNOWN)
+                if n == len(_HASHES):
+                    _HASHES = np.concatenate([_HASHES, np.empty_like(_HASHES)])
+                _HASHES[n] = [int.from_bytes(md5(p + parts[k].encode()).digest()[12:], "big") for p in _PREFIXES]
             best = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-            for s in parts:
-                h = known.get(s)
-                if h is None:
-                    h = known[s] = np.array([int.from_bytes(hashlib.md5(f"{i}_{s}".encode()).digest()[12:], "big") for i in range(PERMUTATIONS)], np.uint32)
-                np.minimum(best, h, out=best)
-            out.append(best.astype(np.int64))
+            for k in range(0, len(at), 512):
+                np.minimum(best, _HASHES[at[k : k + 512]].min(0), out=best)
+            out.append(best.tobytes())
         yield pd.DataFrame({"id": batch["id"], "signature": out})
 
 
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+
+
+def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, signature binary): 128 numbers of 32 bits."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), T.shingles(F.col(text)).alias("shingles"))
+    return rows.mapInPandas(_minhashes, "id bigint, signature binary")
+
+
 def signatures(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(id, signature) with 128 minima of the low 32 bits of md5("i_shingle") over the text's shingles."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), T.shingles(F.col(text)).alias("shingles"))
-    return rows.mapInPandas(_minhashes, "id bigint, signature array<bigint>")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, m.size + 1, PERMUTATIONS, dtype=np.int32), pa.array(m.ravel()))], names=["id", "signature"])
+
+    return _signed(df, key, text).mapInArrow(listed, "id bigint, signature array<bigint>")
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -70,19 +93,36 @@ def greedy(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def text_dedup(df: DataFrame, pos: str = "pos", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """df without rows whose signature agrees in at least `similar` places with that of an earlier row that stays.
 
-    A null text counts as empty. Equal texts are compared once: a later copy always goes, with its first or instead of it.
+    A null text counts as empty. Texts that are equal, or have equal signatures, are compared once, by their first: a later copy always
+    goes, with its first or instead of it. Equal texts meet by their md5, so no text is shuffled.
     """
-    exact = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    first = exact.groupBy("__text").agg(F.min(pos).alias("__pos"))
-    sig = cut(signatures(first, "__pos", "__text"))
-    allowed = PERMUTATIONS - int(np.ceil(similar * PERMUTATIONS - 1e-9))
-    bands = allowed + 1
-    edge = [k * PERMUTATIONS // bands for k in range(bands + 1)]
-    keys = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", edge[k] + 1, edge[k + 1] - edge[k])) for k in range(bands)])
-    rows = sig.select("id", F.explode(keys).alias("band"))
-    near = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    exact = df.select(F.col(pos).cast("bigint").alias("__pos"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    first = exact.groupBy(F.md5("__text")).agg(F.min("__pos").alias("__pos")).select("__pos")
+    sig = cut(_signed(exact.join(first, "__pos", "left_semi"), "__pos", "__text").groupBy("signature").agg(F.min("id").alias("id")))
+    least = int(np.ceil(similar * PERMUTATIONS - 1e-9))
+    edge = np.linspace(0, PERMUTATIONS, PERMUTATIONS - least + 2).astype(int)  # as many bands as may differ, and one
+    odd = np.random.default_rng(1).integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            low = np.packbits((m & 1).astype(np.uint8), axis=1).view(np.int64)
+            mixed = (m.astype(np.uint64) + np.uint64(1)) * odd
+            mixed ^= mixed >> np.uint64(32)
+            for k, (i, j) in enumerate(zip(edge, edge[1:])):
+                h = (mixed[:, i:j] * odd[i:j]).sum(1, dtype=np.uint64) * odd[k]  # equal bands give equal keys; others are told apart later
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), *(pa.array(np.ascontiguousarray(low[:, j])) for j in range(2))], names=["id", "band", "l0", "l1"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_matrix(batch.column(1)) == _matrix(batch.column(3))).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(same >= least))
+
+    rows = sig.select("id", "signature").mapInArrow(banded, "id bigint, band bigint, l0 bigint, l1 bigint")
+    apart = hamming(F.col("x.l0"), F.col("y.l0")) + hamming(F.col("x.l1"), F.col("y.l1"))  # numbers whose lowest bits differ differ
+    near = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (apart <= PERMUTATIONS - least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = near.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-    kept = greedy(sig.select("id"), both.filter(agreement(F.col("sa"), F.col("sb")) >= similar)).withColumnRenamed("id", "__kept")
+    kept = greedy(sig.select("id"), both.select("a", "sa", "b", "sb").mapInArrow(verified, "a bigint, b bigint")).withColumnRenamed("id", "__kept")
     return df.join(kept, F.col(pos) == F.col("__kept"), "left_semi")
 
 

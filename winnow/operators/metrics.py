@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
-from winnow.operators.order import numbered
+from winnow.operators.order import cut, numbered
 
 COMPONENTS = ("ar", "clip", "qr", "ppl", "composite")
 
@@ -104,21 +104,22 @@ def by_type(df: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def distinct_n(df: DataFrame, text: str, orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """(n, distinct_share): distinct n-grams of all texts over all of them; none crosses a text."""
-    w = df.select(T.words(F.col(text)).alias("w")).filter("size(w) > 0")
+    """(n, distinct_share): distinct n-grams of all texts over all of them, n below 8; none crosses a text.
 
-    def of_order(n: int) -> DataFrame:
-        """Shifted copies of the words put together; a lambda that named the words would find them anew for every gram."""
-        many = F.size("w") - (n - 1)
-        g = F.slice("w", 1, many)
+    One scan hashes each text's words; grams are hashes of neighbouring hashes, with n in their lowest bits, so no gram is
+    shuffled as text. Of 1e10 distinct grams about 40 share their 61 bits with another.
+    """
+    w = df.select(F.transform(T.words(F.col(text)), lambda x: F.xxhash64(x)).alias("w"))
+    many = lambda n: F.greatest(F.size("w") - (n - 1), F.lit(0))
+
+    def of_order(n: int) -> Column:
+        g = F.slice("w", 1, many(n))
         for k in range(1, n):
-            g = F.zip_with(g, F.slice("w", k + 1, many), lambda x, y: F.concat(x, F.lit(" "), y))
-        return w.filter(F.size("w") >= n).select(F.lit(n).alias("n"), F.explode(g).alias("g"))
+            g = F.zip_with(g, F.slice("w", k + 1, many(n)), lambda x, y: F.xxhash64(x, y))
+        return F.transform(g, lambda x: F.shiftleft(x, 3).bitwiseOR(F.lit(n).cast("bigint")))
 
-    grams = of_order(orders[0])
-    for n in orders[1:]:
-        grams = grams.union(of_order(n))
-    got = grams.groupBy("n", "g").agg(F.count("*").alias("m")).groupBy("n").agg((F.count("*") / F.sum("m")).alias("distinct_share"))
+    grams = w.select(F.explode(F.flatten(F.array(*[of_order(n) for n in orders]))).alias("g"))
+    got = grams.groupBy("g").agg(F.count("*").alias("m")).groupBy(F.col("g").bitwiseAND(F.lit(7)).cast("int").alias("n")).agg((F.count("*") / F.sum("m")).alias("distinct_share"))
     return df.sparkSession.createDataFrame([(n,) for n in orders], "n int").join(got, "n", "left").na.fill(0.0)
 
 
@@ -161,6 +162,19 @@ def sampled_pairs(n: int, pairs: int, seed: int = 0):
     return lambda spark: spark.range(pairs).select((i + 1).alias("i"), ((i + 1 + draw("j", max(n - 1, 1))) % n + 1).alias("j"))
 
 
+def _drawn(df: DataFrame, pos: str, sample: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
+    """(pairs (i, j), places (__p, __n) of the rows that they name), None for fewer than two rows. Only the places are numbered; of
+    the rows themselves 2 x sample at most are read further, met by a broadcast of so many numbers."""
+    places = numbered(df.select(F.col(pos).alias("__p")), [F.col("__p")], "__n")
+    n = places.count()
+    if n < 2:
+        return None
+    pairs = sampled_pairs(n, min(sample, n * (n - 1)), seed)(df.sparkSession)
+    wanted = pairs.select(F.col("i").alias("__n")).union(pairs.select("j")).distinct()
+    ids = cut(places.join(F.broadcast(wanted), "__n").select("__p", "__n"))
+    return pairs, F.broadcast(ids)
+
+
 def _bleu(hyp: list[str], ref: list[str]) -> float:
     if len(hyp) < 4 or not ref:
         return 0.0
@@ -175,30 +189,31 @@ def _bleu(hyp: list[str], ref: list[str]) -> float:
 
 def self_bleu(df: DataFrame, text: str, pos: str = "pos", sample: int = 200, seed: int = 0) -> DataFrame:
     """One row: mean BLEU-4 of sampled pairs of texts; 0 for fewer than two."""
-    rows = numbered(df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").select(F.col(pos).alias("p"), T.words(F.col(text)).alias("w")), [F.col("p")])
-    n = rows.count()
-    if n < 2:
+    full = df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "")
+    drawn = _drawn(full, pos, sample, seed)
+    if drawn is None:
         return df.sparkSession.createDataFrame([(0.0,)], "self_bleu double")
-    pairs = sampled_pairs(n, min(sample, n * (n - 1)), seed)(df.sparkSession)
+    pairs, ids = drawn
+    rows = full.join(ids, F.col(pos) == F.col("__p"), "inner").select("__n", T.words(F.col(text)).alias("w"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"v": [_bleu(list(x), list(y)) for x, y in zip(b["x"], b["y"])]})
 
-    both = pairs.join(rows.select(F.col("n").alias("i"), F.col("w").alias("x")), "i").join(rows.select(F.col("n").alias("j"), F.col("w").alias("y")), "j")
+    both = pairs.join(rows.select(F.col("__n").alias("i"), F.col("w").alias("x")), "i").join(rows.select(F.col("__n").alias("j"), F.col("w").alias("y")), "j")
     return both.select("x", "y").mapInPandas(run, "v double").agg(_or0(F.avg("v")).alias("self_bleu"))
 
 
 def embedding_spread(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = 1000, seed: int = 0) -> DataFrame:
     """One row: mean of 1 - cosine over sampled pairs of vectors; 0 for fewer than two."""
-    rows = numbered(df.select(F.col(key).alias("p"), F.col(vector).alias("v")), [F.col("p")])
-    n = rows.count()
-    if n < 2:
+    drawn = _drawn(df, key, sample, seed)
+    if drawn is None:
         return df.sparkSession.createDataFrame([(0.0,)], "spread double")
-    pairs = sampled_pairs(n, min(sample, n * (n - 1)), seed)(df.sparkSession)
+    pairs, ids = drawn
+    rows = df.join(ids, F.col(key) == F.col("__p"), "inner").select("__n", F.col(vector).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
     x, y = F.col("x"), F.col("y")
-    both = pairs.join(rows.select(F.col("n").alias("i"), F.col("v").alias("x")), "i").join(rows.select(F.col("n").alias("j"), F.col("v").alias("y")), "j")
+    both = pairs.join(rows.select(F.col("__n").alias("i"), F.col("v").alias("x")), "i").join(rows.select(F.col("__n").alias("j"), F.col("v").alias("y")), "j")
     return both.agg(_or0(F.avg(1 - dot(x, y) / ((F.sqrt(dot(x, x)) + 1e-9) * (F.sqrt(dot(y, y)) + 1e-9)))).alias("spread"))
 
 
@@ -239,6 +254,22 @@ def sentence_shape(df: DataFrame, text: str = "answer") -> DataFrame:
     return df.filter(F.coalesce(t, F.lit("")) != "").agg(_or0(F.avg((t.rlike(r"^\p{Lu}") & t.rlike(r"[.!?]$")).cast("double"))).alias("shape_rate"))
 
 
+def grammar_error_rate(df: DataFrame, faulty: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], text: str = "answer") -> DataFrame:
+    """One row: the share of non-blank texts in which `faulty`, a checker over batches of texts given by the caller, finds an error."""
+    rows = df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("__bad", F.pandas_udf(faulty, "boolean").asNondeterministic()(F.col(text)))
+    return rows.agg(_or0(F.avg(F.col("__bad").cast("double"))).alias("grammar_error_rate"))
+
+
+def component_stats(df: DataFrame, bins: int = 50) -> DataFrame:
+    """(component, count, mean, std, min, max, p25 ... p99, histogram) of all five components; count 0 and nulls where no score is a number."""
+    points = (25, 50, 75, 90, 95, 99)
+    names = df.sparkSession.createDataFrame([(c,) for c in COMPONENTS], "component string")
+    wide = percentiles(df, points).groupBy("component").pivot("percent", list(points)).agg(F.first("value"))
+    counts = histogram(df, bins).groupBy("component").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bin", "n")))).alias("histogram"))  # `bins` entries
+    both = names.join(score_summary(df), "component", "left").join(wide, "component", "left").join(counts, "component", "left")
+    return both.select("component", F.coalesce("n", F.lit(0)).alias("count"), "mean", "std", "min", "max", *[F.col(f"`{p}`").alias(f"p{p}") for p in points], "histogram")
+
+
 def unique_ratio(df: DataFrame, value: str = "average_hash") -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("m")).agg(_or0(F.try_divide(F.count("*"), F.sum("m"))).alias("unique_ratio"))
 
