@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
+from winnow.operators.filters import score_gate, size_gate
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -88,6 +89,66 @@ def html_images(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return rows.mapInPandas(run, f"{key} bigint, n int, src string, text string")
 
 
+#: (address) -> bytes, or None where nothing comes back: brought by the caller, run once per address by the executors.
+Fetch = Callable[[str], bytes | None]
+
+
+def fetched(rows: DataFrame, fetch: Fetch, address: str = "src") -> DataFrame:
+    """rows with content and image_path, a name made of the address's md5 and its ending; without those that cannot be fetched. A fetch that
+    raises counts as nothing: a page's other images stay."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out = []
+            for a in b:
+                try:
+                    out.append(fetch(a))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    got = rows.withColumn("content", F.pandas_udf(run, "binary").asNondeterministic()(F.col(address))).filter("content IS NOT NULL")
+    low = F.lower(address)
+    ending = F.when(low.contains(".png"), ".png").when(low.contains(".webp"), ".webp").when(low.contains(".gif"), ".gif").when(low.contains(".jpeg"), ".jpeg").otherwise(".jpg")
+    return got.withColumn("image_path", F.concat(T.short_hash(F.col(address)), ending))
+
+
+def web_samples(pages: DataFrame, fetch: Fetch, size: Callable[[bytes], tuple[int, int] | None], clip: Callable[[DataFrame], DataFrame] | None = None, least_clip: float = 0.15) -> DataFrame:
+    """Samples (image_path, source_text, source_type, url, content) of web pages: their images with text, fetched, those of a
+    usable size kept, and, where `clip` adds a column of that name, those that fit their text. size: (width, height) of an image."""
+    rows = fetched(html_images(pages), fetch)
+
+    def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([size(x) or (None, None) for x in b], columns=["width", "height"]).astype("Int64")
+
+    measured = rows.withColumn("__s", F.pandas_udf(sizes, "width bigint, height bigint")(F.col("content"))).withColumns({"width": F.col("__s.width"), "height": F.col("__s.height")})
+    kept = size_gate(measured).select("image_path", F.col("text").alias("source_text"), F.lit("web_image").alias("source_type"), F.col("src").alias("url"), "content")
+    return kept if clip is None else score_gate(clip(kept), "clip", least_clip)
+
+
+def pdf_samples(files: DataFrame, render: Callable[[bytes], Iterable[tuple[bytes, bytes]]], read: Callable[[bytes], str]) -> DataFrame:
+    """Samples (image_path, source_text, source_type, path, page, region, text_length, content) of PDF files (path, content).
+
+    render: (picture file, raw pixels) of each page in turn; read: a picture's text. A page's name has its number and the hash of its
+    first 4096 bytes of pixels; its text is the caption found on it, else how it begins. A file that fails gives no page.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, data in zip(b["path"], b["content"]):
+                try:
+                    out += [(path, n, picture, bytes(pixels[:4096]), read(picture)) for n, (picture, pixels) in enumerate(render(data))]
+                except Exception:  # noqa: BLE001
+                    continue
+            yield pd.DataFrame(out, columns=["path", "page", "content", "head", "text"])
+
+    rows = files.select("path", "content").mapInPandas(run, "path string, page int, content binary, head binary, text string")
+    name = F.format_string("page_%04d_%s.png", F.col("page"), T.short_hash(F.col("head"), 10))
+    return rows.select(name.alias("image_path"), T.caption(F.col("text")).alias("source_text"), F.lit("pdf_scan").alias("source_type"), "path", "page", F.lit("full_page").alias("region"), F.length(F.coalesce("text", F.lit(""))).alias("text_length"), "content")
+
+
 def packed(sentences: list[str], least: int = 300, most: int = 600, overlap: int = 0, small: int = 200) -> list[str]:
     """Sentences put together to chunks of least to most characters; what is small joins the chunk before it."""
     chunks: list[str] = []

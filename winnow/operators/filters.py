@@ -22,9 +22,16 @@ def cycle_filter(df: DataFrame, **limits: float) -> DataFrame:
 
 
 def to_chat(df: DataFrame, question: str = "question", answer: str = "answer", image: str = "image_path") -> DataFrame:
-    """df with messages and images: the question, marked with its image, and the answer."""
+    """df with messages and images: those that a row has where it has both, else the question, marked with its image, and the answer."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return df.withColumn("messages", F.array(turn("user", F.concat(F.lit("<image>"), F.coalesce(question, F.lit("")))), turn("assistant", F.coalesce(answer, F.lit(""))))).withColumn("images", F.when(F.col(image).isNull(), F.array().cast("array<string>")).otherwise(F.array(image)))
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    messages = F.array(turn("user", F.concat(F.lit("<image>"), have(question))), turn("assistant", have(answer)))
+    images = F.when(have(image) == "", F.array().cast("array<string>")).otherwise(F.array(have(image)))
+    if "messages" in df.columns and "images" in df.columns:
+        own = F.col("messages").isNotNull() & F.col("images").isNotNull()
+        kept = F.transform("messages", lambda m: turn("", m["content"]).withField("role", m["role"]))
+        messages, images = F.when(own, kept).otherwise(messages), F.when(own, F.col("images")).otherwise(images)
+    return df.withColumns({"messages": messages, "images": images})
 
 
 def export_chat(df: DataFrame, **limits: float) -> DataFrame:

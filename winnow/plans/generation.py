@@ -21,6 +21,29 @@ def generate(df: DataFrame, model: Model, prompt: Column, out: str = "output") -
     return df.withColumn(out, F.pandas_udf(model, "string").asNondeterministic()(prompt))
 
 
+#: What the model is told for each type of question: its role, and the task.
+TYPED = {
+    "objects": ("You describe pictures and name only what can be seen in them.", "Ask for one or more things that are in the picture; yes or no must not answer it."),
+    "spatial": ("You describe how things in a picture lie to each other.", "Ask one question about where something is, seen from something else."),
+    "actions": ("You describe what goes on in a picture.", "Ask one question about what a person or an animal is doing."),
+    "counting": ("You count what a picture shows.", "Ask one question whose answer is a number of things in the picture."),
+    "text_ocr": ("You read what is written in a picture.", "Ask one question about words that can be read in the picture."),
+    "reasoning": ("You explain what a picture shows.", "Ask one question whose answer has to be concluded from what can be seen."),
+}
+
+
+def typed_prompt(qa_type: str) -> tuple[str, str]:
+    """(role, task) for a type of question; an unknown type is an error."""
+    if qa_type not in TYPED:
+        raise KeyError(f"{qa_type}: none of {', '.join(T.QA_TYPES)}")
+    return TYPED[qa_type]
+
+
+def typed_task(qa_type: Column) -> Column:
+    """The task for each row's type; null for an unknown one."""
+    return F.create_map(*[F.lit(x) for k, v in TYPED.items() for x in (k, v[1])])[qa_type]
+
+
 def question_records(df: DataFrame, model: Model) -> DataFrame:
     """From answers: (instruction = question made, input = "", output = answer)."""
     rows = df.withColumn("__in", T.first_field(F.col("output"), F.col("text"))).filter("__in <> ''")

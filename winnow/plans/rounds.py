@@ -6,6 +6,7 @@ while it is read, so a lost executor costs a recomputation of one round at most.
 
 from __future__ import annotations
 
+import logging
 import os
 import time
 from collections.abc import Callable, Sequence
@@ -16,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
+from winnow.operators import filters
 from winnow.operators import metrics as M
 from winnow.operators import mixing
 from winnow.operators.order import cut
+from winnow.plans import baselines as _registered  # noqa: F401
 from winnow.plans.registry import BASELINES, BENCHMARKS
 from winnow.sources import readers
 from winnow.sources.writers import register_dataset, write_json
+from winnow.sources.writers import _small as small
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -111,7 +117,7 @@ def run_method(spark: SparkSession, method: dict, pool: DataFrame, train: Callab
     try:
         t = time.perf_counter()
         data = BASELINES[method.get("kind") or name](pool, **(method.get("params") or {}))
-        path = register_dataset(data, name, os.path.join(folder, name))
+        path = register_dataset(filters.to_chat(data).select("messages", "images"), name, os.path.join(folder, name))
         took["prep_sec"], t = time.perf_counter() - t, time.perf_counter()
         model = train(path)
         took["train_sec"], t = time.perf_counter() - t, time.perf_counter()
@@ -123,17 +129,36 @@ def run_method(spark: SparkSession, method: dict, pool: DataFrame, train: Callab
     return run | took
 
 
-def run_benchmarks(examples: dict[str, DataFrame], infer: Callable[[DataFrame], DataFrame], wanted: Sequence[str]) -> list[dict]:
-    """[{benchmark, score, num_samples}] of the wanted benchmarks that are registered and have examples."""
+def run_benchmarks(examples: dict[str, DataFrame], infer: Callable[[DataFrame], DataFrame], wanted: Sequence[str | dict], folder: str | None = None) -> list[dict]:
+    """[{benchmark, score, num_samples, sub_scores}] of the wanted benchmarks; a dict may give max_samples beside its name. One that
+    is not registered, or has no examples, is skipped with a warning. With a folder each result is written there too."""
     out = []
-    for name in wanted:
-        if name in BENCHMARKS and name in examples:
-            got = {r["category"]: r for r in BENCHMARKS[name](infer(examples[name])).collect()}
-            if "all" in got:
-                out.append({"benchmark": name, "score": got["all"]["score"], "num_samples": got["all"]["n"]})
+    for w in wanted:
+        w = {"name": w} if isinstance(w, str) else w
+        name = w["name"]
+        if name not in BENCHMARKS or name not in examples:
+            log.warning("benchmark %s is skipped: %s", name, "no examples" if name in BENCHMARKS else "not registered")
+            continue
+        rows = examples[name].limit(w["max_samples"]) if w.get("max_samples") else examples[name]
+        got = {r["category"]: r.asDict() for r in small(BENCHMARKS[name](infer(rows)))}
+        if "all" in got:
+            whole = got.pop("all")
+            more = {k: v for k, v in whole.items() if k not in ("category", "n", "score")} | {k: v["score"] for k, v in got.items()}
+            out.append({"benchmark": name, "score": whole["score"], "num_samples": whole["n"], "sub_scores": more})
+            if folder:
+                write_json(out[-1], os.path.join(folder, f"{name}.json"))
     return out
 
 
+def run_experiment(spark: SparkSession, spec: dict, pool: DataFrame, train: Callable[[str], str], folder: str, evaluate: Callable[[str], list[dict]], only: Sequence[str] = ()) -> int:
+    """Runs the spec's methods one after another and writes experiment.json; 1 if any failed, else 0. A failed method stops none."""
+    methods = [m for m in spec["methods"] if not only or m["name"] in only]
+    runs = [run_method(spark, m, pool, train, folder, evaluate) for m in methods]
+    failed = [{"method": r["method"], "error": r["error"]} for r in runs if "error" in r]
+    write_json({"experiment": spec.get("name", ""), "num_methods": len(runs) - len(failed), "failed_methods": failed}, os.path.join(folder, "experiment.json"))
+    return int(bool(failed))
+
+
 def ours(spark: SparkSession, round_data: str | None = None, filtered_pool: str | None = None, pool: str | None = None, round_id: int = 0) -> DataFrame:
     """Our own method's data: the given round's file, else the filtered pool, else the pool folder's mixed file."""
     for path in (round_data, filtered_pool, pool and os.path.join(pool, f"round_{round_id}", f"mixed_round_{round_id}.json")):
@@ -142,6 +167,11 @@ def ours(spark: SparkSession, round_data: str | None = None, filtered_pool: str
     raise ValueError("none of round_data, filtered_pool and pool is there")
 
 
+def heavy_hooks_skipped() -> bool:
+    """Whether the environment asks for runs without models: the callers' hooks should then be stand-ins."""
+    return os.environ.get("CI_SKIP_HEAVY") == "1"
+
+
 def question_of(messages: str = "messages", question: str = "question") -> F.Column:
     """The user's turn, else the question; without image marks."""
     user = F.get(F.filter(messages, lambda m: m["role"] == "user"), F.lit(0))["content"]

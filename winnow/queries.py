@@ -6,13 +6,19 @@ question form chosen by conv_id and scores from md5, which SQL repeats. All quer
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
+from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
 from winnow.operators import analysis, benchmarks, dedup, extract, filters, grounded, metrics, mixing
+from winnow.operators.order import shared_dir
+from winnow.plans import generation
+from winnow.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -693,3 +699,199 @@ def x5_sentences(spark, d):
 @query()
 def x6_chunks(spark, d):
     return extract.chunks(table(spark, d, "documents")).select("doc_id", "n", F.length("chunk").alias("n_chars"))
+
+
+# sources and sinks: what is written is read again
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+_CHAT = P + "SELECT pos, image_id, question, answer, round(composite, 6) AS composite FROM p"
+
+
+def _chat(spark, d):
+    return filters.to_chat(pairs(spark, d))
+
+
+def _read_back(df):
+    """pos travels in image_id, which the schema of pools knows."""
+    at = F.split("image_id", "#")
+    return df.select(at[0].cast("bigint").alias("pos"), at[1].alias("image_id"), "question", "answer", "cycle_scores.composite")
+
+
+def _with_pos(df):
+    return df.withColumn("image_id", F.concat_ws("#", "pos", "image_id"))
+
+
+@query(_CHAT)
+def k1_json_array(spark, d):
+    at = _fresh(spark, "k1") + ".json"
+    writers.write_json_array(_with_pos(_chat(spark, d)), at)
+    return _read_back(readers.json_pool(spark, at))
+
+
+@query(_CHAT)
+def k2_json_lines(spark, d):
+    at = _fresh(spark, "k2")
+    writers.write_json_lines(_with_pos(_chat(spark, d)), at)
+    return _read_back(readers.json_pool(spark, at))
+
+
+@query(_CHAT)
+def s2_strict_json_lines(spark, d):
+    at = _fresh(spark, "s2")
+    writers.write_json_lines(_with_pos(_chat(spark, d)), at)
+    return _read_back(readers.json_lines(spark, at, readers.VQA_SCHEMA))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation")
+def s4_json_data(spark, d):
+    at = _fresh(spark, "s4")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x)  # 25 rows
+    table(spark, d, "nation").agg(F.to_json(F.struct(rows.alias("data")))).write.text(at)
+    return readers.json_data(spark, at, "struct<n_nationkey bigint, n_name string>")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS question_id, n_name AS question FROM nation")
+def s5_json_by_key(spark, d):
+    at = _fresh(spark, "s5")
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.struct(F.col("n_name").alias("question")))))  # 25 rows
+    table(spark, d, "nation").agg(F.to_json(entries)).write.text(at)
+    return readers.json_by_key(spark, at, "struct<question string>")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''")
+def s6_csv_texts(spark, d):
+    at = _fresh(spark, "s6")
+    table(spark, d, "documents").select("doc_id", "text").filter("text <> ''").write.csv(at, header=True, quoteAll=True, escape='"', lineSep="\n")
+    return readers.csv_texts(spark, at, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS \"index\", p_name AS question, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END AS n_choices, p_brand AS a FROM part")
+def s7_choices_tsv(spark, d):
+    at = _fresh(spark, "s7")
+    p = table(spark, d, "part")
+    p.select(F.col("p_partkey").cast("string").alias("index"), F.col("p_name").alias("question"), F.lit(None).cast("string").alias("hint"), F.col("p_brand").alias("A"), F.lit("b").alias("B"), F.lit('say "c"').alias("C"), F.when(F.col("p_partkey") % 2 == 0, "d").alias("D"), F.lit("A").alias("answer"), F.lit("x").alias("category"), F.lit("y").alias("l2-category")).write.csv(at, sep="\t", header=True, quote='"', escape='"')
+    return readers.choices_tsv(spark, at).select("index", "question", F.size("choices").alias("n_choices"), F.col("choices")["A"].alias("a"))
+
+
+@query("SELECT page_id, md5(html) AS digest FROM pages")
+def s10_pages(spark, d):
+    at = _fresh(spark, "s10") + ".jsonl"
+    writers.write_json_lines(table(spark, d, "pages").select(F.concat_ws("#", "page_id", "url").alias("url"), "html"), at)
+    return readers.pages(spark, at).select(F.split("url", "#")[0].cast("bigint").alias("page_id"), F.md5("html").alias("digest"))
+
+
+# more text functions
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN source = '' THEN trim(lang) ELSE trim(source) END AS first, CASE WHEN source LIKE '/%' THEN source ELSE '/data/' || source END AS path FROM documents")
+def f15_f17_fields(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.first_field(F.col("source"), F.col("lang")).alias("first"), filters.resolve_path(F.col("source"), "/data/").alias("path"))
+
+
+@query(P + "SELECT pos, question AS q_own, answer AS a_own, image_path AS i_own, regexp_replace(question, '<image>', '') AS q_turn, answer AS a_turn FROM p")
+def t11_t12_sample_fields(spark, d):
+    c = _chat(spark, d)
+    no = F.lit(None).cast("string")
+    return c.select("pos", T.sample_question(F.col("question"), F.col("messages")).alias("q_own"), T.sample_answer(F.lit(""), F.col("messages")).alias("a_own"), T.sample_image(no, F.col("images")).alias("i_own"), T.sample_question(no, F.col("messages")).alias("q_turn"), T.sample_answer(F.col("answer"), F.col("messages")).alias("a_turn")).select("pos", "q_own", "a_own", "i_own", "q_turn", "a_turn")
+
+
+@query(P + f"SELECT pos, {_STRIP('question')} AS question, {_STRIP('answer')} AS answer FROM p")
+def t16_qa_output(spark, d):
+    x = T.qa_pair(F.concat(F.lit("noise\nQ: "), "question", F.lit(" \nA: "), "answer"))
+    return pairs(spark, d).filter("answer <> ''").select("pos", x["question"].alias("question"), x["answer"].alias("answer"))
+
+
+@query(f"SELECT doc_id, {_STRIP('text')} AS t FROM documents")
+def t17_after_think(spark, d):
+    k = F.col("doc_id") % 2 == 0
+    return table(spark, d, "documents").select("doc_id", T.after_think(F.when(k, F.concat(F.lit("<think> a </think>\n"), "text")).otherwise(F.col("text"))).alias("t"))
+
+
+@query(f"SELECT doc_id, coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP('x')}), lambda x: regexp_matches(x, '^(?i)(fig\\.?|figure|table)\\s*[0-9]'))[1], CASE WHEN t <> '' THEN left(t, 200) END) AS caption FROM (SELECT doc_id, {_STRIP('u')} AS t FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || ' Table 7: what is left ' ELSE text END AS u FROM documents))")
+def t24_caption(spark, d):
+    u = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n Table 7: what is left "))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.caption(u).alias("caption"))
+
+
+@query(P + "SELECT pos, 2 AS n_parts, image_path AS image, question AS text FROM p")
+def t32_image_message(spark, d):
+    c = _chat(spark, d)
+    parts = generation.image_message(F.col("messages")[0]["content"], F.col("images"))
+    return c.select("pos", F.size(parts).alias("n_parts"), parts[0]["value"].alias("image"), parts[1]["value"].alias("text"))
+
+
+@query("SELECT o_orderkey, printf('COCO_val2014_%012d.jpg', o_orderkey) AS name FROM orders")
+def t33_coco_name(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.coco_name("val2014", F.col("o_orderkey")).alias("name"))
+
+
+@query("SELECT p_partkey, p_name || E'\\nSay yes or no.' AS pope, p_type || chr(10) || p_name || E'\\nA. x\\nB. ' || p_brand || E'\\nGive the letter of the right option only.' AS mmbench, p_name || E'\\nA. x\\nB. ' || p_brand || E'\\nC. y\\nD. z\\nAnswer:' AS mmlu FROM part")
+def t34_g11_prompts(spark, d):
+    q, two = F.col("p_name"), F.create_map(F.lit("B"), F.col("p_brand"), F.lit("A"), F.lit("x"))
+    return table(spark, d, "part").select("p_partkey", benchmarks.prompt("pope", q).alias("pope"), benchmarks.prompt("mmbench", q, F.col("p_type"), two).alias("mmbench"), benchmarks.prompt("mmlu", q, choices=F.array(F.lit("x"), F.col("p_brand"), F.lit("y"), F.lit("z"))).alias("mmlu"))
+
+
+# stages around a model: here one that answers with the md5 of what it is asked
+
+
+def _model(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for b in batches:
+        yield b.map(lambda x: "<think>so</think> Q: " + md5(x.encode()).hexdigest() + "\nA: yes")
+
+
+_ASKED = lambda prompt: "'Q: ' || md5(" + prompt + ") || E'\\nA: yes'"
+
+
+@query(P + f"SELECT {_ASKED(chr(39) + 'Ask a question to which this is the answer:' + chr(39) + ' || chr(10) || ' + _STRIP('answer'))} AS instruction, '' AS input, {_STRIP('answer')} AS output FROM p WHERE answer <> ''")
+def g3_question_records(spark, d):
+    return generation.question_records(pairs(spark, d).select(F.col("answer").alias("output"), F.lit(None).cast("string").alias("text")), _model)
+
+
+@query(P + f"SELECT 'Write a question that the text below answers.' AS instruction, {_ASKED(chr(39) + 'Answer the question:' + chr(39) + ' || chr(10) || ' + _STRIP('question'))} AS input, {_STRIP('question')} AS output FROM p")
+def g4_answer_records(spark, d):
+    return generation.answer_records(pairs(spark, d).select(F.col("question").alias("instruction"), F.lit(None).cast("string").alias("text")), _model)
+
+
+@query(P + "SELECT image_path, left(md5(image_path), 12) AS image_id, md5('Ask and answer one question about the image. Context: ' || answer) AS question, 'yes' AS answer, 'md5' AS generation_model FROM p, range(2)")
+def g5_visual_pairs(spark, d):
+    return generation.visual_pairs(pairs(spark, d).select("image_path", F.col("answer").alias("source_text")), _model, 2, "md5")
+
+
+@query(P + "SELECT pos, md5('Answer: ' || question) AS again, CASE WHEN left(md5('Answer: ' || question), 1) < '8' THEN 1.0 ELSE 0.0 END AS ar, 1.0 AS qr FROM p")
+def g6_verify_cycle(spark, d):
+    low = lambda own, again: F.when(F.length(again) > 40, F.when(F.regexp_extract(again, "Q: (.)", 1) < "8", 1.0).otherwise(0.0)).otherwise(1.0)
+    short = lambda batches: (b.map(lambda x: "") for b in batches)
+    short.__annotations__ = _model.__annotations__
+    got = generation.verify_cycle(pairs(spark, d).drop("cycle_scores"), _model, short, low, F.lit(0.5))
+    return got.select("pos", F.regexp_extract("answer_again", "Q: (.{32})", 1).alias("again"), "cycle_scores.ar", "cycle_scores.qr")
+
+
+@query(P + "SELECT pos, false AS supported, 'other' AS error_type, false AS keep_final FROM p")
+def g7_verify_grounded(spark, d):
+    return generation.verify_grounded(pairs(spark, d), _model).select("pos", "supported", "error_type", "keep_final")
+
+
+@query(P + "SELECT pos, CASE qa_type WHEN 'counting' THEN 'Ask one question whose answer is a number of things in the picture.' WHEN 'objects' THEN 'Ask for one or more things that are in the picture; yes or no must not answer it.' WHEN 'spatial' THEN 'Ask one question about where something is, seen from something else.' WHEN 'actions' THEN 'Ask one question about what a person or an animal is doing.' WHEN 'text_ocr' THEN 'Ask one question about words that can be read in the picture.' ELSE 'Ask one question whose answer has to be concluded from what can be seen.' END AS task FROM p")
+def c4_typed_task(spark, d):
+    return pairs(spark, d).select("pos", generation.typed_task(T.qa_type(F.col("question"))).alias("task"))
+
+
+@query("SELECT left(md5(src), 12) || '.png' AS image_path, text AS source_text, 'web_image' AS source_type, src AS url FROM (SELECT page_id, 'http://h/a/' || page_id || '.png' AS src, 'Figure ' || page_id AS text FROM pages) WHERE page_id % 2 = 0")
+def x2_web_samples(spark, d):
+    """Pages with one figure each; the images of even pages come back, 300 pixels square."""
+    own = F.concat(F.lit("<figure><img src='"), F.col("page_id").cast("string"), F.lit(".png'><figcaption>Figure "), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    pages = table(spark, d, "pages").select("page_id", F.lit("http://h/a/").alias("url"), own.alias("html"))
+    even = lambda address: b"x" if int(address.split("/")[-1][:-4]) % 2 == 0 else None
+    return extract.web_samples(pages, even, lambda data: (300, 300)).drop("content")
+
+
+@query("SELECT 'p' || page_id AS path, n AS page, printf('page_%04d_%s.png', n, left(md5('page' || n), 10)) AS image_path, CASE n WHEN 0 THEN 'Figure 1 of ' || page_id ELSE 'plain text' END AS source_text FROM pages, (SELECT unnest([0, 1]) AS n)")
+def x3_pdf_samples(spark, d):
+    """Files of two pages each: the bytes of a page's picture are its text."""
+    files = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.encode(F.concat(F.lit("intro\nFigure 1 of "), F.col("page_id").cast("string")), "utf-8").alias("content"))
+    render = lambda data: [(data, b"page0"), (b"plain text", b"page1")]
+    return extract.pdf_samples(files, render, lambda picture: picture.decode()).select("path", F.col("page").cast("bigint").alias("page"), "image_path", "source_text")

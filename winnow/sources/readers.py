@@ -72,6 +72,13 @@ def choices_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("choices", F.map_filter(letters, lambda k, v: F.coalesce(v, F.lit("")) != "")).drop(*"ABCD")
 
 
+def _file_system(path: str):
+    """(pyarrow's file system, path on it) of a path or address."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -82,14 +89,17 @@ class _ArrowReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
-            return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".arrow")]
-        return [_File(self.path)]
+        from pyarrow import fs
+
+        at, path = _file_system(self.path)
+        if at.get_file_info(path).type == fs.FileType.Directory:
+            return [_File(f.path) for f in sorted(at.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".arrow")]
+        return [_File(path)]
 
     def read(self, partition: InputPartition) -> Iterator:
         import pyarrow as pa
 
-        with open(partition.path, "rb") as f:
+        with _file_system(self.path)[0].open_input_file(partition.path) as f:
             magic = f.read(6)
             f.seek(0)
             if magic == b"ARROW1":
@@ -165,6 +175,11 @@ def results_of(run_rows: DataFrame) -> DataFrame:
     return run_rows.select("run", "method", F.explode("results").alias("r")).select("run", "method", "r.*")
 
 
+def sweep_results(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, benchmark, score) of every run.json directly below a folder of the sweep whose name holds a theta; analysis.sweep() orders them."""
+    return results_of(runs(spark, folder)).filter(F.col("run").rlike(r"/[^/]*theta[_-]?(\d+p\d+|\d+\.\d+)[^/]*/run\.json$")).select("run", "benchmark", "score")
+
+
 def round_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Every round_<n>/metrics.json that can be read, by number of the round."""
     rows = spark.read.schema(METRICS_SCHEMA).option("pathGlobFilter", "metrics.json").option("recursiveFileLookup", True).json(folder, multiLine=True, mode="DROPMALFORMED")

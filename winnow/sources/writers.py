@@ -7,10 +7,13 @@ import logging
 import os
 from collections.abc import Callable
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TABLE_ROWS = 10_000
+
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -24,13 +27,39 @@ def write_json(value: object, path: str) -> None:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """All rows as one JSON array, taken partition by partition."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for k, r in enumerate(df.toLocalIterator()):
-            f.write(("," if k else "") + "\n  " + json.dumps(r.asDict(True), ensure_ascii=False, default=str))
-        f.write("\n]\n")
+    """All rows as one JSON array. The executors write the records, each led by a comma, beside the path; the driver only has the
+    file system append these parts, whose rows it never sees, without the first comma."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid4().hex}")
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(F.concat(F.lit(","), record)).write.text(parts.toString())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(b"[\n"))
+        first = True
+        for status in sorted(fs.listStatus(parts), key=lambda s: s.getPath().getName()):
+            if status.getLen() and status.getPath().getName().startswith("part-"):
+                piece = fs.open(status.getPath())
+                if first:
+                    piece.seek(1)
+                    first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+                piece.close()
+        out.write(bytearray(b"]\n"))
+    finally:
+        out.close()
+        fs.delete(parts, True)
+
+
+def _small(df: DataFrame) -> list:
+    """The rows of a table for people to read; a table that no one would is an error, not a driver out of memory."""
+    rows = df.limit(TABLE_ROWS + 1).collect()
+    if len(rows) > TABLE_ROWS:
+        raise ValueError(f"more than {TABLE_ROWS} rows for a table in a report")
+    return rows
 
 
 def convert_arrow(df: DataFrame, path: str, lines: bool = False) -> None:
@@ -39,17 +68,17 @@ def convert_arrow(df: DataFrame, path: str, lines: bool = False) -> None:
 
 def markdown(df: DataFrame) -> str:
     """A small table as a pipe table."""
-    rows = [df.columns, ["---"] * len(df.columns), *[["--" if v is None else str(v) for v in r] for r in df.collect()]]
+    rows = [df.columns, ["---"] * len(df.columns), *[["--" if v is None else str(v) for v in r] for r in _small(df)]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
 
 
 def comma_grid(df: DataFrame) -> str:
-    return "\n".join(",".join("--" if v is None else str(v) for v in r) for r in [df.columns, *df.collect()]) + "\n"
+    return "\n".join(",".join("--" if v is None else str(v) for v in r) for r in [df.columns, *_small(df)]) + "\n"
 
 
 def latex(df: DataFrame) -> str:
     line = lambda r: " & ".join("--" if v is None else str(v).replace("_", r"\_") for v in r) + r" \\"
-    body = [line(r) for r in df.collect()]
+    body = [line(r) for r in _small(df)]
     return "\n".join([rf"\begin{{tabular}}{{l{'c' * (len(df.columns) - 1)}}}", r"\toprule", line(df.columns), r"\midrule", *body, r"\bottomrule", r"\end{tabular}"]) + "\n"
 
 
@@ -79,7 +108,7 @@ def report(df: DataFrame, metrics: dict[str, Callable[[DataFrame], object]], wan
             continue
         try:
             got = metrics[name](df)
-            out[name] = [r.asDict(True) for r in got.collect()] if isinstance(got, DataFrame) else got
+            out[name] = [r.asDict(True) for r in _small(got)] if isinstance(got, DataFrame) else got
         except Exception as e:  # noqa: BLE001
             out[name] = {"error": f"{type(e).__name__}: {e}"[:500]}
     if folder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from winnow.operators.mixing import upsert_pool
 from winnow.sources.readers import exists
@@ -14,7 +15,7 @@ def refresh(stream: DataFrame, folder: str, checkpoint: str, least: float = 0.85
 
     def step(batch: DataFrame, number: int) -> None:
         before = f"{folder}/{number - 1}"
-        old = spark.read.parquet(before) if number and exists(spark, before) else batch.sparkSession.createDataFrame([], batch.schema.add("round_added", "int"))
+        old = spark.read.parquet(before) if number and exists(spark, before) else batch.limit(0).withColumn("round_added", F.lit(None).cast("int"))
         upsert_pool(old, batch, number, least, size).write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
