@@ -31,8 +31,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to equal weights under the token budget."""
-    return mixing.mixed_documents(docs)
+    """Sources are mixed to their target weights under the token budget."""
+    return mixing.mixed_documents(docs, mixing.WEIGHTS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
