@@ -36,6 +36,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether there is anything but white space; stops at the first such character."""
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
 def normalise_question(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
 

@@ -94,7 +94,7 @@ def text_dedup(df: DataFrame, pos: str = "pos", text: str = "text", similar: flo
     """df without rows whose signature agrees in at least `similar` places with that of an earlier row that stays.
 
     A null text counts as empty. Texts that are equal, or have equal signatures, are compared once, by their first: a later copy always
-    goes, with its first or instead of it. Equal texts meet by their md5, so no text is shuffled.
+    goes, with its first or instead of it. Equal texts meet by their md5: no text is a shuffle key.
     """
     exact = df.select(F.col(pos).cast("bigint").alias("__pos"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     first = exact.groupBy(F.md5("__text")).agg(F.min("__pos").alias("__pos")).select("__pos")

@@ -151,7 +151,7 @@ def mtld(df: DataFrame, text: str, threshold: float = 0.72) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"v": [(_one_way(list(w), threshold) + _one_way(list(w)[::-1], threshold)) / 2 if len(w) > 1 else 0.0 for w in b["w"]]})
 
-    rows = df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").select(T.words(F.col(text)).alias("w"))
+    rows = df.filter(T.has_text(F.col(text))).select(T.words(F.col(text)).alias("w"))
     return rows.mapInPandas(run, "v double").agg(_or0(F.avg("v")).alias("mtld"))
 
 
@@ -189,7 +189,7 @@ def _bleu(hyp: list[str], ref: list[str]) -> float:
 
 def self_bleu(df: DataFrame, text: str, pos: str = "pos", sample: int = 200, seed: int = 0) -> DataFrame:
     """One row: mean BLEU-4 of sampled pairs of texts; 0 for fewer than two."""
-    full = df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "")
+    full = df.filter(T.has_text(F.col(text)))
     drawn = _drawn(full, pos, sample, seed)
     if drawn is None:
         return df.sparkSession.createDataFrame([(0.0,)], "self_bleu double")
@@ -256,7 +256,7 @@ def sentence_shape(df: DataFrame, text: str = "answer") -> DataFrame:
 
 def grammar_error_rate(df: DataFrame, faulty: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], text: str = "answer") -> DataFrame:
     """One row: the share of non-blank texts in which `faulty`, a checker over batches of texts given by the caller, finds an error."""
-    rows = df.filter(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").withColumn("__bad", F.pandas_udf(faulty, "boolean").asNondeterministic()(F.col(text)))
+    rows = df.filter(T.has_text(F.col(text))).withColumn("__bad", F.pandas_udf(faulty, "boolean").asNondeterministic()(F.col(text)))
     return rows.agg(_or0(F.avg(F.col("__bad").cast("double"))).alias("grammar_error_rate"))
 
 
