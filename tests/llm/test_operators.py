@@ -54,6 +54,36 @@ def test_edges(spark, name):
         assert OPERATORS[name](spark, docs_of(spark, EDGE)).columns == docs_of(spark, EDGE).columns
 
 
+def test_stated_results_on_edges(spark):
+    """What the docstrings say of nulls, empty and very long texts, ties, repeated rows and ids."""
+    docs = docs_of(spark, EDGE)
+    ids = [i for i, *_ in EDGE if i is not None]
+    rows = lambda name: OPERATORS[name](spark, docs).collect()
+    coded, counted = {}, {}
+    for r in rows("encode"):
+        coded.setdefault(r.doc_id, []).append(r)
+    for r in rows("counts"):
+        counted.setdefault(r.doc_id, []).append((r.n_tokens, r.n_pretokens))
+    assert sorted(r for r in coded for _ in coded[r]) == sorted(ids) and coded[1][0].tokens is None and coded[2][0].tokens == [] and len(coded[5]) == 2
+    assert {i: [r.n_tokens for r in x] for i, x in coded.items()} == {i: [n for n, _ in x] for i, x in counted.items()} and counted[1] == counted[2] == [(0, 0)]
+    assert all(r.round_trip for i, x in coded.items() for r in x if i != 1)
+    assert {(r.doc_id, r.duplicate_of) for r in rows("simhash")} == {(6, 5)}
+    assert sorted(((r.doc_id, r.text) for r in rows("simhash rows")), key=str) == sorted(((i, t) for i, t, _ in EDGE if i != 6), key=str)
+    lines = {r.doc_id: (r.n_lines, r.n_kept, r.keep_runs) for r in rows("lines")}
+    n = LONG.count("\n") + 1
+    assert set(lines) == set(ids) and lines[1] == lines[2] == (1, 1, "1") and lines[3] == (2, 2, "2") and lines[5] == (1, 1, "1") and lines[6] == (1, 0, "0,1")
+    assert lines[7] == (n, 2, f"1,{n - 2},1")
+    left = [(r.doc_id, r.text) for r in rows("lines rows")]
+    assert (6, EDGE[6][1]) not in left and left.count((5, EDGE[4][1])) == 2 and (7, "lorem ipsum\n") in left and (None, "no id") in left and (1, None) in left
+    taken = sorted((r.doc_id, r.tokens) for r in mixing.mix(docs, budget_tokens=10**6).collect())
+    assert taken == sorted((i, len((t or "").split())) for i, t, _ in EDGE if i is not None)
+    assert {r.source for r in mixing.mix(docs, budget_tokens=10**6).collect()} == {"x", "y", "z", ""}
+    assert len(rows("licenses")) == 0 and {r.doc_id for r in pii.detect(docs).collect()} == set()
+    scores = {r.doc_id: (r.probability, r.keep) for r in rows("quality")}
+    assert set(scores) == set(ids) and all(scores[i] == (0.0, False) for i in (1, 2, 3)) and scores[4] == (1.0, True)
+    assert {r.text for r in rows("quality keep")} == {t for _, t, _ in EDGE if (t or "").strip()}
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     return spark.read.parquet(f"{DIR}/documents.parquet")

@@ -289,8 +289,11 @@ def _inliers(p: np.ndarray, q: np.ndarray) -> int:
         s = slice(k, k + 256)
         error = np.abs(f[s, None] * (za - za[s, None]) + zb[s, None] - zb)
         ok = error <= TOLERANCE * np.maximum(1, ratio[s, None])
-        for row in np.flatnonzero(ok.sum(1) > best):
-            best = max(best, min(len(np.unique(p[ok[row]] >> 20)), len(np.unique(q[ok[row]] >> 20))))
+        votes = ok.sum(1)
+        for row in np.argsort(-votes, kind="stable"):
+            if votes[row] <= best:  # distinct places are no more than votes
+                break
+            best = max(best, min(len(set((p[ok[row]] >> 20).tolist())), len(set((q[ok[row]] >> 20).tolist()))))
     return best
 
 
@@ -316,7 +319,7 @@ def _linked(reps: DataFrame) -> DataFrame:
         same = [apart[w].bitwiseAND(F.lit(m)) == 0 for w, m in _masks(t)]
         first = F.when(reduce(and_, same), F.lit(t)).otherwise(first)
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near & (table == first))
-    pairs = found.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.collect_list(F.struct(F.col("x.at").alias("p"), F.col("y.at").alias("q"))).alias("m"))
+    pairs = found.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.collect_set(F.struct(F.col("x.at").alias("p"), F.col("y.at").alias("q"))).alias("m"))  # a corner's two orientations stand at one place
     return pairs.filter(F.size("m") >= MIN_INLIERS).mapInArrow(_consensus, "id_a bigint, id_b bigint, inliers int")
 
 
