@@ -35,7 +35,7 @@ BITS, _WORD = TABLES * WIDTH, 62  # a descriptor lies in three int64 of 62 bits
 #: Scales, and the pixels of the scaled image for which there is one corner: 8, 6 and 4 corners for 96 x 96 pixels.
 SCALES = ((1.0, 1152), (2**-0.5, 768), (0.5, 576))
 _R, _TURNS = 12, 32
-_PIXELS = 1 << 20  # pixels of images described at once; a larger image is alone
+_PIXELS = 1 << 18  # pixels of images described at once; a larger image is alone
 
 
 def _pattern() -> np.ndarray:
@@ -129,7 +129,11 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
         pad[axis] = (r, r)
         p = np.pad(x, pad, mode="edge")
         n = x.shape[axis]
-        x = sum(np.take(p, range(k, k + n), axis) if axis == 1 else p[:, :, k : k + n] for k in range(2 * r + 1)) / np.float32(2 * r + 1)
+        total = p[:, :n].copy() if axis == 1 else p[:, :, :n].copy()
+        for k in range(1, 2 * r + 1):
+            total += p[:, k : k + n] if axis == 1 else p[:, :, k : k + n]
+        total /= np.float32(2 * r + 1)
+        x = total
     return x
 
 
@@ -166,7 +170,9 @@ def features(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for axis in (1, 2):
             p = np.pad(peak, [(0, 0) if k != axis else (2, 2) for k in range(3)], constant_values=-np.inf)
             n = peak.shape[axis]
-            peak = np.max([p[:, k : k + n] if axis == 1 else p[:, :, k : k + n] for k in range(5)], axis=0)
+            peak = p[:, :n].copy() if axis == 1 else p[:, :, :n].copy()
+            for k in range(1, 5):
+                np.maximum(peak, p[:, k : k + n] if axis == 1 else p[:, :, k : k + n], out=peak)
         r = np.where((r == peak) & (r > 1.0), r, 0)[:, m:-m, m:-m]
         flat = r.reshape(b, -1)
         top = np.argsort(-flat, axis=1, kind="stable")[:, :most]
