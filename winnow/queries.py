@@ -70,18 +70,18 @@ _WORDS = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"  # n
 
 #: The SQL's own word lists, written out so that a wrong one on the other side shows.
 _TYPES_SQL = {
-    "counting": (["how many", "number of", "count of"], [r"\bhow\s+many\b"]),
-    "reasoning": (["why", "how does", "what would happen", "explain", "compare"], [r"^\s*why\b", r"\bhow\s+does\b"]),
-    "spatial": (["to the left", "to the right", "above", "below", "behind", "in front of", "next to", "between"], [r"\bwhere\b.*\bis\b"]),
-    "text_ocr": (["say", "word", "text", "written", "letter", "label", "sign", "caption"], [r"\bwhat\b.*\b(text|sign|label)\b.*\bsay"]),
+    "counting": (["number of", "how many", "count of"], [r"\bhow\s+many\b"]),
+    "reasoning": (["why", "what would happen", "how does", "explain", "compare"], [r"^\s*why\b", r"\bhow\s+does\b"]),
+    "spatial": (["to the right", "to the left", "next to", "in front of", "between", "below", "behind", "above"], [r"\bwhere\b.*\bis\b"]),
+    "text_ocr": (["written", "word", "text", "sign", "say", "letter", "label", "caption"], [r"\bwhat\b.*\b(text|sign|label)\b.*\bsay"]),
     "actions": (["what is", "what are", "doing"], [r"\bwhat\s+(is|are)\b.*\bdoing\b"]),
-    "objects": (["which items", "what objects", "what items", "what things", "name the", "list the"], [r"\bwhat\b.*\b(thing|item|object)s?\b"]),
+    "objects": (["which items", "what things", "what objects", "what items", "name the", "list the"], [r"\bwhat\b.*\b(thing|item|object)s?\b"]),
 }
 _RISKS_SQL = {
-    "counting": ["total number", "counts", "count", "number of", "how many"],
-    "math": ["kinetic energy", "compare", "difference", "total", "ratio", "%", "percentage", "percent", "probability"],
-    "diagram": ["phenotype", "genotype", "allele", "lattice", "diagram", "table", "chart", "food web", "punnett"],
-    "inference": ["indicating", "likely", "might", "why", "cause", "kind of", "type of", "environment", "habitat", "use for", "used for", "function", "purpose"],
+    "counting": ["total number", "number of", "how many", "counts", "count"],
+    "math": ["total", "ratio", "probability", "percentage", "percent", "kinetic energy", "difference", "compare", "%"],
+    "diagram": ["table", "punnett", "phenotype", "lattice", "genotype", "food web", "diagram", "chart", "allele"],
+    "inference": ["why", "used for", "use for", "type of", "purpose", "might", "likely", "kind of", "indicating", "habitat", "function", "environment", "cause"],
 }
 _STOP_SQL = "yes with which where when what visible under those this they these there them their that some shown showing scene says said picture photo over onto not none no much most more many less least into image have from done doing does between below being been around above about".split()
 
