@@ -85,3 +85,17 @@ def image_message(content: Column, images: Column) -> Column:
     item = lambda kind, v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
     parts = F.transform(checked, lambda p, i: F.when(i == 0, F.array(item("text", p))).otherwise(F.array(item("image", F.get(images, i - 1)), item("text", p))))
     return F.filter(F.flatten(parts), lambda x: (x["type"] == "image") | (T.strip(x["value"]) != ""))
+
+
+def generate_with_images(df: DataFrame, model: Model, content: Column, images: Column, out: str = "output") -> DataFrame:
+    """df with the model's output for each message; the model gets its parts, text and images by turns, as JSON."""
+    return generate(df, model, F.to_json(image_message(content, images)), out)
+
+
+def paired(score: Callable[[Iterator[tuple[pd.Series, pd.Series]]], Iterator[pd.Series]]) -> Callable[[Column, Column], Column]:
+    """A scorer for verify_cycle() from a function over batches of pairs, whose model is loaded once per worker."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from score(batches)
+
+    return F.pandas_udf(run, "double").asNondeterministic()

@@ -895,3 +895,50 @@ def x3_pdf_samples(spark, d):
     files = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.encode(F.concat(F.lit("intro\nFigure 1 of "), F.col("page_id").cast("string")), "utf-8").alias("content"))
     render = lambda data: [(data, b"page0"), (b"plain text", b"page1")]
     return extract.pdf_samples(files, render, lambda picture: picture.decode()).select("path", F.col("page").cast("bigint").alias("page"), "image_path", "source_text")
+
+
+@query(P + """SELECT pos, md5('[{"type":"image","value":"' || image_path || '"}]') AS said FROM p""")
+def g2_generate_with_images(spark, d):
+    got = generation.generate_with_images(pairs(spark, d), _model, F.lit("<image>"), F.array("image_path"))
+    return got.select("pos", F.regexp_extract("output", "Q: (.{32})", 1).alias("said"))
+
+
+def _close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield (a.str.len() < b.str.len()).astype(float)
+
+
+@query(P + "SELECT pos, CASE WHEN len(question) < len(answer) THEN 1.0 ELSE 0.0 END AS score FROM p")
+def g8_paired_scorer(spark, d):
+    return pairs(spark, d).select("pos", generation.paired(_close)(F.col("question"), F.col("answer")).alias("score"))
+
+
+# the rest
+
+
+@query("SELECT o_orderkey, round((CAST(o_orderkey % 2 = o_custkey % 2 AS INT) + CAST(o_orderkey % 3 = o_custkey % 3 AS INT) + CAST(o_orderkey % 5 = o_custkey % 5 AS INT)) / 3, 6) AS agreement FROM orders")
+def d5_agreement(spark, d):
+    of = lambda c: F.array(*[F.col(c) % k for k in (2, 3, 5)])
+    return table(spark, d, "orders").select("o_orderkey", dedup.agreement(of("o_orderkey"), of("o_custkey")).alias("agreement"))
+
+
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j4_semi_anti(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels")
+    good, known = labels.filter("quality = 1").select("doc_id"), labels.select("doc_id")
+    inside = docs.join(known, "doc_id", "left_semi")
+    parts = inside.join(good, "doc_id", "left_semi").withColumn("good", F.lit(True)), inside.join(good, "doc_id", "left_anti").withColumn("good", F.lit(False))
+    return parts[0].union(parts[1]).union(docs.join(known, "doc_id", "left_anti").withColumn("good", F.lit(None).cast("boolean")))
+
+
+@query("SELECT * FROM (VALUES (0, 0.6, 0.1, 8, 0.0002), (1, 0.6, 0.2, 8, 0.0001), (2, 0.5, 0.3, 16, 0.0001), (3, 0.5, 0.3, 16, 0.00005), (4, 0.5, 0.3, 32, 0.00005), (9, 0.5, 0.3, 32, 0.00005)) t(round_id, new_share, old_share, rank, rate)".replace("SELECT *", "SELECT CAST(round_id AS BIGINT) AS round_id, CAST(new_share AS DOUBLE) AS new_share, CAST(old_share AS DOUBLE) AS old_share, CAST(rank AS BIGINT) AS rank, CAST(rate AS DOUBLE) AS rate"))
+def t27_t28_schedules(spark, d):
+    rows = [(r, mixing.scheduled((0.6, 0.6, 0.5), r), mixing.scheduled((0.1, 0.2, 0.3), r), mixing.lora_settings(r)[0], mixing.lora_settings(r)[2]) for r in (0, 1, 2, 3, 4, 9)]
+    return spark.createDataFrame(rows, "round_id bigint, new_share double, old_share double, rank bigint, rate double")
+
+
+@query(_LONG + ", s AS (SELECT component, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM l GROUP BY component) SELECT component, n AS count, round(mean, 6) AS mean, round(std, 6) AS std, round(v[1], 6) AS min, round(v[n], 6) AS max, " + ", ".join(f"round(v[CAST(round_even({p} / 100 * (n - 1), 0) AS BIGINT) + 1], 6) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + ", n AS in_bins FROM s")
+def a6_component_stats(spark, d):
+    got = metrics.component_stats(pairs(spark, d))
+    total = F.aggregate(F.map_values("histogram"), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return got.withColumn("in_bins", total).drop("histogram")
