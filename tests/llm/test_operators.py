@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from winnow.llm import bpe, itq, licenses, line_dedup, media, mixing, pii, pretok, quality, simhash, vec
+from winnow.llm import bpe, itq, licenses, line_dedup, media, mixing, pii, quality, simhash, vec
 from winnow.llm.common import groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, id bigint, a int, b int, key string, cell int, h int, tokens int, keep int, finish int, slice int, group int, probability int"
