@@ -406,6 +406,46 @@ def test_simhash_recall_by_distance(spark):
         assert len(pairs) >= 30 and recall >= least
 
 
+def _at_the_limit(n, max_bits=simhash.MAX_BITS):
+    """2 n fingerprints, each even one max_bits from the next."""
+    r = np.random.default_rng(11)
+    f = r.integers(0, 2**64, (n, 6), dtype=np.uint64)
+    flips = np.argsort(r.random((n, simhash.BITS)), axis=1) < max_bits
+    return np.stack([f, f ^ np.packbits(flips, axis=1).view(">u8").astype(np.uint64)], 1).reshape(-1, 6)
+
+
+def _all_near(f, max_bits=simhash.MAX_BITS):
+    d = sum(np.bitwise_count(f[:, None, k] ^ f[None, :, k]).astype(int) for k in range(6))
+    return {(int(a), int(b), int(d[a, b])) for a, b in zip(*np.where(np.triu(d <= max_bits, 1)))}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 300])
+def test_simhash_loses_no_pair(spark, block):
+    """Every pair at the limit itself, within one block and across several."""
+    f = _at_the_limit(500)
+    reps = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "id bigint, " + ", ".join(f"f{k} bigint" for k in range(6)))
+    want = _all_near(f)
+    assert len(want) == 500
+    got = [(p.a, p.b, p.bits) for p in simhash.similar(reps, block=block).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("max_bits", [0, 3, 31, 64])
+def test_simhash_masks_and_comparing_all_agree(sample, max_bits):
+    """Also on texts, with near copies beyond the limit, and between two sides."""
+    col = pa.array([r.text for r in sample.collect()] + [f"{r.text} {' extra' * (i % 5)} w{i}" for i, r in enumerate(sample.collect())])
+    texts = np.concatenate([simhash.fingerprints(b, o)[0] for _, b, o in vec.chunks(col)])
+    f = np.unique(np.concatenate([texts, _at_the_limit(300, max(1, max_bits)), _at_the_limit(50, max_bits + 1)]), axis=0)
+    f = f[np.random.default_rng(0).permutation(len(f))]
+    want = _all_near(f, max_bits)
+    assert len(want) >= (300 if max_bits else 0)
+    for split in (0, 333):
+        pairs = simhash._Block([np.ascontiguousarray(f[:, k]) for k in range(6)], split, max_bits)
+        for way in (pairs.direct, pairs.covered):
+            got = {(min(p), max(p), d) for k in range(3) for x, y, n in way(k, 3) for *p, d in zip(x.tolist(), y.tolist(), n.tolist())}
+            assert got == {p for p in want if not split or p[0] < split <= p[1]}
+
+
 def test_cells_bound_distance():
     r = np.random.default_rng(0)
     f = r.integers(0, 2**63, (50, 6)).astype(np.uint64)

@@ -2,15 +2,19 @@
 
 A document's fingerprint has BITS bits, each the sign of a sum over its distinct words (lower case), weighted by 1 + ln of
 their count. Every PART-bit part is cut into 2-bit segments and mapped to the vector of their popcounts, a point in a grid of unit
-cells. The Manhattan distance of two such vectors never exceeds the Hamming distance of the parts, so documents of which any
-part agrees share a cell. The bits are cut into parts in TURNS fixed orders: pairs within BITS / PART - 1 bits meet for sure,
-about 0.95 of the pairs at MAX_BITS itself do, and more of closer ones (tests hold recall by distance; at 23 bits a miss has
-probability below 1e-20). Overlapping parts find more per row than cells one step up and down would: those cost 10 rows a
-part. A candidate is then verified on the whole fingerprints: its Hamming distance is at most MAX_BITS.
+cells; the Manhattan distance of two such vectors never exceeds the Hamming distance of the parts.
 
-Copies with equal fingerprints are joined as one representative, so thousands of copies cost one point. Rows in the join
-carry 128 bits of the fingerprint, which discard nearly all false candidates before they are shuffled. Groups are connected
-components of the verified pairs.
+The join by Hamming distance is lossless: it gives every pair that differs in at most MAX_BITS bits. The bits are dealt to parts, and
+each part has a radius, such that a pair within MAX_BITS is within the radius of at least one. A part of radius t has 2^(t+1) - 1 masks:
+each of its bits has a vector of t + 1 bits, and mask v holds the bits whose vector has odd parity with v. The vectors of t differing
+bits span less than the whole space, so a nonzero v is even with all of them: under its mask the two agree (covering LSH). Each mask
+sorts the fingerprints by what it lets through and compares those that agree, whatever the size of such a group. Where fewer pairs
+than that work are to be had, or the masks let too many meet, every pair is compared instead; which way is taken changes no result.
+
+Fingerprints are split into blocks of about BLOCK by hash, and each pair of blocks is a task, or several that share its masks out.
+
+Copies with equal fingerprints are joined as one representative, so thousands of copies cost one point. Groups are connected
+components of the pairs.
 
 Defined results: a null, empty or wordless text matches nothing. Rows that share a doc_id are one document: with any of
 their texts it can match, and they stay or go together. The least doc_id of a group stays. Rows without doc_id are left
@@ -20,6 +24,7 @@ out of the report and kept by keep_one(). Empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +35,18 @@ from winnow.llm import vec
 from winnow.llm.common import cut, groups, texts
 
 BITS, PART, MAX_BITS = 384, 24, 64
-#: Orders in which the bits are cut into parts; the first is their own.
-TURNS = 12
-#: Of 128 bits carried along, more than this many differ in a pair at MAX_BITS with probability below 0.003.
-CARRIED_BITS = 32
+#: Bits of the vectors of a part's masks, at most; fingerprints to a block; tasks at least.
+VECTOR, BLOCK, SLICES = 10, 1 << 20, 12
+#: A sorted fingerprint costs as much as SORTED compared pairs, a candidate as much as MET; one mask in SAMPLED is tried to foresee candidates.
+SORTED, MET, SAMPLED = 6, 10, 256
 _N = BITS // 64
 _F = [f"f{k}" for k in range(_N)]
 _SEEDS = vec.seeded(_N, 5)
-_BLOCK = 1 << 14
-_ORDERS = [np.arange(BITS), *(np.argsort(vec.seeded(BITS, 20 + k), kind="stable") for k in range(1, TURNS))]
+_BLOCK, _BATCH = 1 << 14, 1 << 17
+#: Words compared before the others.
+_FIRST = 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_DEALT = np.argsort(vec.seeded(BITS, 21), kind="stable")
 _PLACES = (4 ** np.arange(PART // 2)).astype(np.float32)
 
 
@@ -80,39 +88,178 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(f[:, k].view(np.int64) if f.flags.f_contiguous else np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(_N))], names=["doc_id", *_F]).filter(pa.array(has))
 
 
-def cells(f: np.ndarray, turn: int = 0) -> np.ndarray:
-    """rows x parts: the grid cell of each part of a turn, its 2-bit popcounts side by side."""
-    bits = np.unpackbits(np.ascontiguousarray(f.astype(">u8")).view(np.uint8).reshape(len(f), -1), axis=1)[:, _ORDERS[turn]]
+def _bits(f: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(f.astype(">u8")).view(np.uint8).reshape(len(f), -1), axis=1)
+
+
+def cells(f: np.ndarray) -> np.ndarray:
+    """rows x parts: the grid cell of each part, its 2-bit popcounts side by side."""
+    bits = _bits(f)
     segments = (bits[:, ::2] + bits[:, 1::2]).reshape(len(f), BITS // PART, PART // 2)
     return (segments.astype(np.float32) @ _PLACES).astype(np.uint64)  # below 2^24, so exact
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 1 << 13):
-            part = batch.slice(i, 1 << 13)
-            f = np.stack([part.column(1 + k).to_numpy().view(np.uint64) for k in range(_N)], 1)
-            for turn in range(TURNS):
-                c = cells(f, turn)
-                for p in range(c.shape[1]):
-                    at = p * PART // 64 + 2  # in the first turn, words that the part does not lie in
-                    key = pa.array((c[:, p] | np.uint64(turn * c.shape[1] + p << 32)).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([key, part.column(0), part.column(1 + at % _N), part.column(1 + (at + 1) % _N)], names=["cell", "id", "c0", "c1"])
-
-
-def _distance(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _F), F.lit(0))
-
-
-def similar(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct (a, b, bits), a < b, of the rows (id, f0...) of different fingerprints that differ in at most max_bits."""
-    points = reps.mapInArrow(_points, "cell bigint, id bigint, c0 bigint, c1 bigint")
-    same = sum((F.bit_count(F.col(f"l.{k}").bitwiseXOR(F.col(f"r.{k}"))) for k in ("c0", "c1")), F.lit(0)) <= CARRIED_BITS
-    found = points.alias("l").join(points.alias("r"), (F.col("l.cell") == F.col("r.cell")) & same & (F.col("l.id") < F.col("r.id")))
-    found = found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    x, y = reps.alias("x"), reps.alias("y")
-    both = found.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-    return both.select("a", "b", _distance("x", "y").alias("bits")).filter(F.col("bits") <= max_bits)
+def _word(bits: np.ndarray) -> np.ndarray:
+    """Rows of at most 64 bits as one uint64 each."""
+    wide = np.zeros((len(bits), 64), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+@lru_cache
+def masks(max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places of its bits, masks over them) of each part. The vectors are chosen so that no mask has few bits, as few
+    let many meet: each is replaced in turn by one that lowers the sum of 0.62^bits, the share of unlike texts that meet."""
+    parts = -(-(max_bits + 1) // VECTOR)
+    sizes = np.diff(np.arange(parts + 1) * (max_bits + 1) // parts)  # radius + 1; that they add up to max_bits + 1 makes the join lossless
+    edges = np.append(0, np.cumsum(sizes)) * BITS // (max_bits + 1)
+    share, out = 0.62 ** np.arange(66), []
+    for k, size in enumerate(sizes.tolist()):
+        own = _DEALT[edges[k] : min(edges[k + 1], edges[k] + 64)]  # more bits than a word holds are not needed
+        v, draws = np.arange(1, 1 << size), vec.seeded(1600 + len(own), 40 + k) % np.uint64((1 << size) - 1) + np.uint64(1)
+        inside = np.stack([np.bitwise_count(v & c) & 1 for c in draws[: len(own)].astype(np.int64)], 1)
+        n = inside.sum(1, dtype=np.int64)
+        for i, c in enumerate(draws[len(own) :].astype(np.int64)):
+            column = np.bitwise_count(v & c) & 1
+            other = n - inside[:, i % len(own)] + column
+            if share[other].sum() < share[n].sum():
+                n, inside[:, i % len(own)] = other, column
+        out.append((own, _word(inside)))
+    return out
+
+
+class _Block:
+    """Fingerprints as columns of words; pairs are any two rows, or with split those of a row before split and one from it on."""
+
+    def __init__(self, f: list[np.ndarray], split: int, max_bits: int):
+        self.f, self.n, self.split, self.max_bits = f, len(f[0]), split, max_bits
+        self.pairs = split * (self.n - split) if split else self.n * (self.n - 1) // 2
+        self.order = np.uint64(max(1, self.n).bit_length())
+
+    def _near(self, x, y) -> tuple[np.ndarray, np.ndarray]:
+        """(places among the pairs, distances) of those within max_bits; x, y: places of rows, or one row and a slice."""
+        few = sum((np.bitwise_count(c[x] ^ c[y]) for c in self.f[:_FIRST]), np.uint8(0))  # 256 counts as 0, which only keeps the pair
+        at = np.flatnonzero(few <= self.max_bits)
+        if not len(at):
+            return at, few[:0]
+        x, y = (x, at + y.start) if isinstance(y, slice) else (x[at], y[at])
+        d = sum((np.bitwise_count(c[x] ^ c[y]) for c in self.f), np.uint16(0))
+        near = d <= self.max_bits
+        return at[near], d[near]
+
+    def direct(self, part: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, rows, distances) of the near pairs by comparing all; part of the work."""
+        for x in range(part, self.split or self.n, of):
+            y = self.split or x + 1
+            at, d = self._near(x, slice(y, None))
+            if len(at):
+                yield np.full(len(at), x), at + y, d
+
+    def _sorted(self, word: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in the order of a hash of what the mask lets through, and that hash: a false meeting is only one more candidate."""
+        key = (word & mask) * _ODD >> self.order << self.order | np.arange(self.n, dtype=np.uint64)
+        key.sort()
+        low = (np.uint64(1) << self.order) - np.uint64(1)
+        return (key & low).view(np.int64), key >> self.order
+
+    def _meeting(self, row: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of rows of one key, about _BATCH at once."""
+        at = np.flatnonzero(key[1:] == key[:-1])
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, self.n)
+        later = ends[np.searchsorted(ends, at, "right")] - at - 1
+        total = np.cumsum(later)
+        k = 0
+        while k < len(at):
+            m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _BATCH, "right")))
+            x, y = row[np.repeat(at[k:m], later[k:m])], row[vec.expand(at[k:m] + 1, later[k:m])]
+            if self.split:
+                across = (x < self.split) != (y < self.split)
+                x, y = x[across], y[across]
+            yield x, y
+            k = m
+
+    def words(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, np.uint64)
+        for k, p in enumerate(places.tolist()):
+            out |= (self.f[p // 64] >> np.uint64(63 - p % 64) & np.uint64(1)) << np.uint64(63 - k)
+        return out
+
+    def covered(self, part: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same pairs by part of the masks; a pair can come from several parts of the work."""
+        held, most = [np.empty(0, np.int64)], 1 << 20
+        for places, own in masks(self.max_bits):
+            word = self.words(places)
+            for mask in own[part::of]:
+                row, key = self._sorted(word, mask)
+                for x, y in self._meeting(row, key):
+                    near, d = self._near(x, y)
+                    if len(near):
+                        x, y = x[near], y[near]
+                        held.append((np.minimum(x, y) << 32 | np.maximum(x, y)) << 9 | d)
+                if sum(map(len, held)) > most:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > 1 << 22:
+                        yield self._rows(held.pop())
+                    most = 2 * sum(map(len, held)) + (1 << 20)
+        if held:
+            yield self._rows(np.unique(np.concatenate(held)))
+
+    @staticmethod
+    def _rows(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return code >> 41, code >> 9 & 0xFFFFFFFF, code & 0x1FF
+
+    def near(self, part: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Near pairs in whichever way is cheaper. All tasks of the same rows come to the same choice."""
+        count = sum(len(own) for _, own in masks(self.max_bits))
+        if self.pairs <= SORTED * count * self.n:
+            return self.direct(part, of)
+        met = 0
+        for places, own in masks(self.max_bits):
+            word = self.words(places)
+            for mask in own[::SAMPLED]:
+                _, key = self._sorted(word, mask)
+                n = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+                met += int((n * (n - 1) // 2).sum()) * len(own) // len(own[::SAMPLED])
+        return self.direct(part, of) if MET * met + SORTED * count * self.n > self.pairs else self.covered(part, of)
+
+
+def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b, bits), a < b, of the rows (id, f0...) of different fingerprints that differ in at most max_bits: all of them."""
+    blocks = max(1, -(-reps.count() // block))
+    both = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    slices = -(-SLICES // len(both))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.zeros(batch.num_rows, np.uint64)
+            for k in range(1 + _N):
+                h = vec.mix64(h ^ batch.column(k).to_numpy().view(np.uint64))
+            h %= np.uint64(blocks)
+            for k, (i, j) in enumerate(both):
+                own = np.flatnonzero((h == i) | (h == j))
+                rows, right = batch.take(pa.array(own)), pa.array((h[own] != i).astype(np.int8))
+                for s in range(slices if len(own) else 0):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k * slices + s, np.int32)), right, *rows.columns], names=["task", "side", "id", *_F])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not got:
+            return
+        task, side, ids, *f = (np.concatenate(c) for c in zip(*got))
+        del got
+        order = np.argsort(side, kind="stable")
+        k, s = divmod(int(task[0]), slices)
+        i, j = both[k]
+        split, ids, f = int((side == 0).sum()), ids[order], [c[order].view(np.uint64) for c in f]
+        if i != j and split in (0, len(ids)):
+            return
+        for x, y, d in _Block(f, split if i != j else 0, max_bits).near(s, slices):
+            a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            other = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(d[other].astype(np.int32))], names=["a", "b", "bits"])
+
+    tasks = reps.select("id", *_F).mapInArrow(dealt, "task int, side tinyint, id bigint, " + ", ".join(f"{k} bigint" for k in _F))
+    return tasks.repartitionById(len(both) * slices, F.col("task")).mapInArrow(joined, "a bigint, b bigint, bits int").distinct()
 
 
 def duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
