@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import pretok, vec
-from winnow.llm.common import texts
+from winnow.llm.common import kept, texts
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int32).max
@@ -472,14 +472,9 @@ class Decoder:
         return "".join(self.stream(ids[k : k + piece] for k in range(0, len(ids), piece)))
 
 
-_WORKER: dict[tuple, object] = {}
-
-
 def _once(kind: type, compiled: Broadcast, key: str):
     """One object per worker process and vocabulary."""
-    if (kind, key) not in _WORKER:
-        _WORKER[kind, key] = kind(compiled.value)
-    return _WORKER[kind, key]
+    return kept((kind, key), lambda: kind(compiled.value))
 
 
 def _shared(docs: DataFrame, vocab: str) -> tuple[Broadcast, str]:

@@ -6,12 +6,37 @@ names, neither clash nor travel. Rows whose id is null cannot be named in a resu
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Hashable
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """One object per worker process and key, for all of an operator's tasks there, until those of another call forget()."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Give back what another operator's tasks kept in this worker process: workers outlive stages, and share their executor's memory."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # glibc's own
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it names none, in local mode, one of our own. On a
     cluster that names none this is an error: executors do not share a machine's folders."""

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import vec
-from winnow.llm.common import partitions, texts
+from winnow.llm.common import forget, partitions, texts
 
 _ROWS = "h bigint, g bigint, doc_id bigint, pos int"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for i, b, offs in vec.chunks(batch.column(1)):

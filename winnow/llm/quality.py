@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import vec
-from winnow.llm.common import partitions, texts
+from winnow.llm.common import forget, partitions, texts
 
 DIM, NONZERO, WINDOW, ROW_BITS = 32, 2, 2, 16
 HIDDEN, EPOCHS, BATCH, RATE, FIT_ROWS, SEED, THRESHOLD = 32, 40, 256, 0.01, 8192, 42, 0.5
@@ -48,6 +48,7 @@ def _words(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     place, sign = _index_vectors()
     table, seen = np.zeros(_ROWS * DIM, np.int64), False
     for batch in batches:
@@ -92,6 +93,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pooled(vectors: np.ndarray, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features, words) of each text of an Arrow column."""
+    forget()
     feats, words = np.zeros((len(col), DIM + 2), np.float32), np.zeros(len(col), np.int64)
     for i, b, offs in vec.chunks(col, _CHUNK):
         row, n = _words(b, offs)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import vec
-from winnow.llm.common import cut, groups, texts
+from winnow.llm.common import cut, forget, groups, texts
 
 BITS, PART, MAX_BITS = 384, 24, 64
 #: Bits of the vectors of a part's masks, at most; fingerprints to a block; tasks at least.
@@ -81,6 +81,7 @@ def fingerprints(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for i, b, offs in vec.chunks(batch.column(1)):
             f, has = fingerprints(b, offs)
@@ -242,6 +243,7 @@ def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k * slices + s, np.int32)), right, *rows.columns], names=["task", "side", "id", *_F])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
         if not got:
             return
