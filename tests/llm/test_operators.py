@@ -661,6 +661,27 @@ def test_a_worker_keeps_nothing_for_other_operators(work):
     assert held() is None
 
 
+def test_near_stage_takes_every_pair(spark):
+    """The pipeline's stage keeps the least id of each connected component of all pairs within the limit."""
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(600):
+        w = [f"w{x}" for x in r.integers(0, 5000, (60, 200)[k % 2])]
+        v = list(w)
+        for x in r.choice(len(w), round(len(w) * (0.08, 0.1, 0.12)[k % 3]), replace=False):
+            v[x] = f"n{r.integers(0, 5000)}"
+        rows += [(2 * k, " ".join(w), "x"), (2 * k + 1, " ".join(v), "x")]
+    f = np.concatenate([simhash.fingerprints(b, o)[0] for _, b, o in vec.chunks(pa.array([t for _, t, _ in rows]))])
+    near = np.zeros((len(f), len(f)), bool)
+    for a, b, _ in _all_near(f):
+        near[a, b] = near[b, a] = True
+    group = np.arange(len(f))
+    for _ in range(20):
+        group = np.where(near, group, len(f)).min(1, initial=len(f), where=near | np.eye(len(f), dtype=bool)).clip(max=group)
+    assert 400 < len(f) - len(set(group.tolist())) < 600
+    assert {d.doc_id for d in corpus_pipeline.near_stage(spark, docs_of(spark, rows), DIR).collect()} == set(group.tolist())
+
+
 def test_groups(spark):
     pairs = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), (1, 2)], "a bigint, b bigint")
     assert {(r["id"], r["group"]) for r in groups(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
