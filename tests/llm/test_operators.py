@@ -447,6 +447,17 @@ def test_simhash_masks_and_comparing_all_agree(sample, max_bits):
             assert got == {p for p in want if not split or p[0] < split <= p[1]}
 
 
+def test_simhash_tasks_number_rows_alike():
+    """The rows of a block reach its tasks in different orders; together the tasks still compare every pair."""
+    f, r, got = _at_the_limit(200), np.random.default_rng(5), set()
+    for k in range(4):
+        at = r.permutation(len(f))
+        at = at[simhash._in_order(np.zeros(len(f), np.int8), at // 3, list(f[at].T))]
+        pairs = simhash._Block([np.ascontiguousarray(f[at, c]) for c in range(6)], 0, simhash.MAX_BITS)
+        got |= {(min(a, b), max(a, b), d) for x, y, n in pairs.direct(k, 4) for a, b, d in zip(at[x].tolist(), at[y].tolist(), n.tolist())}
+    assert got == _all_near(f)
+
+
 def test_cells_bound_distance():
     r = np.random.default_rng(0)
     f = r.integers(0, 2**63, (50, 6)).astype(np.uint64)

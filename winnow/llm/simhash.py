@@ -224,6 +224,12 @@ class _Block:
         return self.direct(part, of) if MET * met + SORTED * count * self.n > self.pairs else self.covered(part, of)
 
 
+def _in_order(side: np.ndarray, ids: np.ndarray, f: list[np.ndarray]) -> np.ndarray:
+    """Places of the rows by side, id and fingerprint. Shuffled rows arrive in any order, and tasks that share a block's rows out
+    must number them alike."""
+    return np.lexsort((*f, ids, side))
+
+
 def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b, bits), a < b, of the rows (id, f0...) of different fingerprints that differ in at most max_bits: all of them."""
     blocks = max(1, -(-reps.count() // block))
@@ -249,7 +255,7 @@ def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
             return
         task, side, ids, *f = (np.concatenate(c) for c in zip(*got))
         del got
-        order = np.argsort(side, kind="stable")
+        order = _in_order(side, ids, f)
         k, s = divmod(int(task[0]), slices)
         i, j = both[k]
         split, ids, f = int((side == 0).sum()), ids[order], [c[order].view(np.uint64) for c in f]
