@@ -458,6 +458,61 @@ def test_simhash_tasks_number_rows_alike():
     assert got == _all_near(f)
 
 
+def _least(n, pairs):
+    """The least row of each component."""
+    group = list(range(n))
+    while True:
+        before = list(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            return group
+
+
+@pytest.mark.parametrize("max_bits", [0, 3, 31, 64])
+@pytest.mark.parametrize("sorts, wide", [(simhash.SORTED, simhash.LONG), (0, simhash.LONG), (0, 1)])
+def test_simhash_links_have_the_components_of_all_pairs(sample, monkeypatch, max_bits, sorts, wide):
+    """By comparing all, by masks and by long masks; also with chains of near copies, and between two sides."""
+    monkeypatch.setattr(simhash, "SORTED", sorts)
+    monkeypatch.setattr(simhash, "MET", simhash.MET if sorts else 0)
+    monkeypatch.setattr(simhash, "LONG", wide)
+    monkeypatch.setattr(simhash, "_BATCH", 50)
+    chain = _at_the_limit(1)[:1].repeat(60, 0)
+    for k in range(60 * 6):  # each six bits from the next
+        chain[k // 6 + 1 :, k // 64] ^= np.uint64(1 << k % 64)
+    col = pa.array([f"{r.text} w{i}" for i, r in enumerate(sample.collect())])
+    texts = np.concatenate([simhash.fingerprints(b, o)[0] for _, b, o in vec.chunks(col)])
+    f = np.unique(np.concatenate([texts, chain, _at_the_limit(300, max(1, max_bits)), _at_the_limit(50, max_bits + 1)]), axis=0)
+    f = f[np.random.default_rng(0).permutation(len(f))]
+    near = _all_near(f, max_bits)
+    for split in (0, 333):
+        own = [(a, b) for a, b, _ in near if not split or a < split <= b]
+        parts = [simhash.linked(f.copy(), split, max_bits, k, 3).tolist() for k in range(3)]
+        assert _least(len(f), [x for part in parts for x in enumerate(part)]) == _least(len(f), own)
+
+
+def test_simhash_passes_over_connected_copies(monkeypatch):
+    """300 near copies of one text: as a few links, not as their 44 850 pairs under each of the masks."""
+    r, compared = np.random.default_rng(2), []
+    f = r.integers(0, 2**64, (1, 6), dtype=np.uint64).repeat(300, 0)
+    f[:, 0] ^= np.uint64(1) << np.arange(300, dtype=np.uint64) % np.uint64(32)
+    f[:, 1] ^= np.uint64(1) << np.arange(300, dtype=np.uint64) // np.uint64(32)
+    monkeypatch.setattr(simhash, "SORTED", 0)
+    monkeypatch.setattr(simhash, "MET", 0)
+    link = simhash._Linked.link
+    monkeypatch.setattr(simhash._Linked, "link", lambda self, x, y: (compared.append(len(x)), link(self, x, y))[1])
+    assert not simhash.linked(f, 0, simhash.MAX_BITS, 0, 12).any()
+    assert sum(compared) < 44_850
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 300])
+def test_simhash_connects_what_all_pairs_connect(spark, block):
+    """Within one block and across several."""
+    f = _at_the_limit(500)
+    reps = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "id bigint, " + ", ".join(f"f{k} bigint" for k in range(6)))
+    assert {(p.a, p.b) for p in simhash.connected(reps, block=block).collect()} == {(a, b) for a, b, _ in _all_near(f)}
+
+
 def test_cells_bound_distance():
     r = np.random.default_rng(0)
     f = r.integers(0, 2**63, (50, 6)).astype(np.uint64)

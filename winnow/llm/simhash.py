@@ -11,10 +11,12 @@ bits span less than the whole space, so a nonzero v is even with all of them: un
 sorts the fingerprints by what it lets through and compares those that agree, whatever the size of such a group. Where fewer pairs
 than that work are to be had, or the masks let too many meet, every pair is compared instead; which way is taken changes no result.
 
-Fingerprints are split into blocks of about BLOCK by hash, and each pair of blocks is a task, or several that share its masks out.
+Up to 2 * BLOCK fingerprints are one block, more are split into blocks of about BLOCK by hash; each pair of blocks is a task, or
+several that share its masks out.
 
 Copies with equal fingerprints are joined as one representative, so thousands of copies cost one point. Groups are connected
-components of the pairs.
+components of the pairs. To find these, a task passes over pairs that its own links connect already: near copies meet under
+most masks, but are compared only until they are connected. Every pair that could connect two groups is compared.
 
 Defined results: a null, empty or wordless text matches nothing. Rows that share a doc_id are one document: with any of
 their texts it can match, and they stay or go together. The least doc_id of a group stays. Rows without doc_id are left
@@ -23,7 +25,7 @@ out of the report and kept by keep_one(). Empty input gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +37,12 @@ from winnow.llm import vec
 from winnow.llm.common import cut, forget, groups, texts
 
 BITS, PART, MAX_BITS = 384, 24, 64
-#: Bits of the vectors of a part's masks, at most; fingerprints to a block; tasks at least.
-VECTOR, BLOCK, SLICES = 10, 1 << 20, 12
+#: Bits of the vectors of a part's masks, at most; those of longer masks, where more than LONG fingerprints would meet too often; fingerprints to a block; tasks at least.
+VECTOR, WIDE, LONG, BLOCK, SLICES = 10, 11, 1 << 19, 3 << 19, 12
 #: A sorted fingerprint costs as much as SORTED compared pairs, a candidate as much as MET; one mask in SAMPLED is tried to foresee candidates.
 SORTED, MET, SAMPLED = 6, 10, 256
+#: Masks of a part whose neighbours are linked before any others meet.
+_CHAINED = 2
 _N = BITS // 64
 _F = [f"f{k}" for k in range(_N)]
 _SEEDS = vec.seeded(_N, 5)
@@ -108,10 +112,10 @@ def _word(bits: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def masks(max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+def masks(max_bits: int = MAX_BITS, vector: int = VECTOR) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places of its bits, masks over them) of each part. The vectors are chosen so that no mask has few bits, as few
     let many meet: each is replaced in turn by one that lowers the sum of 0.62^bits, the share of unlike texts that meet."""
-    parts = -(-(max_bits + 1) // VECTOR)
+    parts = -(-(max_bits + 1) // vector)
     sizes = np.diff(np.arange(parts + 1) * (max_bits + 1) // parts)  # radius + 1; that they add up to max_bits + 1 makes the join lossless
     edges = np.append(0, np.cumsum(sizes)) * BITS // (max_bits + 1)
     share, out = 0.62 ** np.arange(66), []
@@ -129,6 +133,146 @@ def masks(max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row of each row's component, after links between x and y; label: before."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((least := label[label]) != label).any():
+            label = least
+
+
+class _Linked:
+    """Rows in the order of their components, which grow by links. f is kept in that order; at: the rows' own places."""
+
+    def __init__(self, f: np.ndarray, split: int, max_bits: int):
+        self.f, self.n, self.split, self.max_bits = f, len(f), split, max_bits
+        self.at, self.label, self.own, self.word, self.new, self.waiting = *(np.arange(self.n) for _ in range(3)), None, [], 0
+        self.order = np.uint64(max(1, self.n).bit_length())
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Compare places x and y and keep those near for join()."""
+        if self.split:
+            across = (self.at[x] < self.split) != (self.at[y] < self.split)
+            x, y = x[across], y[across]
+        d = self.f.take(x, 0)
+        d ^= self.f.take(y, 0)
+        c = np.bitwise_count(d).view(np.uint16)
+        c = c[:, 0] + c[:, 1] + c[:, 2]  # two sums of three words, of at most 192 each
+        near = np.flatnonzero((c & np.uint16(255)) + (c >> np.uint16(8)) <= self.max_bits)
+        if len(near):
+            self.new.append((self.at[x[near]], self.at[y[near]]))
+            self.waiting += len(near)
+
+    def join(self) -> None:
+        if not self.new:
+            return
+        self.label = _joined(self.label, *map(np.concatenate, zip(*self.new)))
+        self.new, self.waiting = [], 0
+        order = np.argsort(self.label[self.at], kind="stable")
+        self.at = self.at[order]
+        if self.word is not None:
+            self.word = self.word[order]
+        self.own = self.label[self.at]
+        self.f[:] = self.f.take(order, 0)
+
+    def take(self, places: np.ndarray) -> None:
+        self.word = _words([self.f[:, k] for k in range(_N)], places)
+
+    def neighbours(self, mask: np.uint64) -> None:
+        row, key = _by_mask(self.word, mask, self.order)
+        at = np.flatnonzero(key[1:] == key[:-1])
+        for k in range(0, len(at), _BATCH):
+            self.link(row[at[k : k + _BATCH]], row[at[k : k + _BATCH] + 1])
+
+    def meeting(self, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that meet others, and for each from where on and how many later ones of other components it meets there."""
+        row, key = _by_mask(self.word, mask, self.order)
+        equal = key[1:] == key[:-1]
+        at = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        row, key = row[at], key[at]
+        own = self.own[row]
+        other = key[1:] != key[:-1]
+        ends = [np.append(np.flatnonzero(e) + 1, len(at)) for e in (other, other | (own[1:] != own[:-1]))]
+        last, start = (np.repeat(e, np.diff(e, prepend=0)) for e in ends)
+        return row, start, last - start
+
+    def compare(self, mask: np.uint64) -> None:
+        """Link what meets under a mask and is not of one component."""
+        row, start, n = self.meeting(mask)
+        at = np.flatnonzero(n)
+        total = np.cumsum(n[at])
+        k = 0
+        while k < len(at):
+            m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _BATCH, "right")))
+            self.link(row[np.repeat(at[k:m], n[at[k:m]])], row[vec.expand(start[at[k:m]], n[at[k:m]])])
+            k = m
+        if self.waiting > self.n >> 3:
+            self.join()
+
+
+def _words(f: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """What the fingerprints have at these places, as words."""
+    out = np.zeros(len(f[0]), np.uint64)
+    for at in range(0, len(out), _BLOCK):
+        own, part = out[at : at + _BLOCK], [np.ascontiguousarray(c[at : at + _BLOCK]) for c in f]
+        for k, p in enumerate(places.tolist()):
+            own |= (part[p // 64] >> np.uint64(63 - p % 64) & np.uint64(1)) << np.uint64(63 - k)
+    return out
+
+
+def _by_mask(word: np.ndarray, mask: np.uint64, order: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of a hash of what the mask lets through, and that hash: a false meeting is only one more candidate."""
+    key = word & mask
+    key *= _ODD
+    key >>= order
+    key <<= order
+    key |= np.arange(len(word), dtype=np.uint64)
+    key.sort()
+    row = (key & ((np.uint64(1) << order) - np.uint64(1))).view(np.int64)
+    key >>= order
+    return row, key
+
+
+def linked(f: np.ndarray, split: int, max_bits: int, part: int, of: int) -> np.ndarray:
+    """The least row of each row's component by a part of the work on the rows of f; with split, by pairs across it alone.
+    The components of all parts' together are those of all near pairs. All tasks of the same rows come to the same choice of way.
+    f is put into another order."""
+    pairs = split * (len(f) - split) if split else len(f) * (len(f) - 1) // 2
+    sets = [masks(max_bits)] + ([masks(max_bits, WIDE)] if len(f) > LONG else [])
+    at = _Linked(f, split, max_bits)
+    costs = [SORTED * len(f) * sum(len(own) for _, own in sets[0])]
+    if pairs > costs[0]:
+        for places, own in sets[0]:
+            at.take(places)
+            for mask in own[:: -(-len(own) // _CHAINED)]:
+                at.neighbours(mask)
+            at.join()
+        costs = [SORTED * len(f) * sum(len(own) for _, own in way) for way in sets]
+        for k, way in enumerate(sets):
+            for places, own in way:
+                at.take(places)
+                costs[k] += MET * len(own) * int(at.meeting(own[len(own) // 2])[2].sum())
+    if pairs <= min(costs):
+        own = np.argsort(at.at)
+        for x, y, _ in _Block([np.ascontiguousarray(f[own, k]) for k in range(_N)], split, max_bits).direct(part, of):
+            at.new.append((x, y))
+            if len(at.new) > 1 << 12:
+                at.join()
+        at.join()
+        return at.label
+    for places, own in sets[int(np.argmin(costs))]:
+        at.take(places)
+        for mask in own[part::of]:
+            at.compare(mask)
+    at.join()
+    return at.label
+
+
 class _Block:
     """Fingerprints as columns of words; pairs are any two rows, or with split those of a row before split and one from it on."""
 
@@ -156,13 +300,6 @@ class _Block:
             if len(at):
                 yield np.full(len(at), x), at + y, d
 
-    def _sorted(self, word: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Rows in the order of a hash of what the mask lets through, and that hash: a false meeting is only one more candidate."""
-        key = (word & mask) * _ODD >> self.order << self.order | np.arange(self.n, dtype=np.uint64)
-        key.sort()
-        low = (np.uint64(1) << self.order) - np.uint64(1)
-        return (key & low).view(np.int64), key >> self.order
-
     def _meeting(self, row: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of rows of one key, about _BATCH at once."""
         at = np.flatnonzero(key[1:] == key[:-1])
@@ -179,19 +316,13 @@ class _Block:
             yield x, y
             k = m
 
-    def words(self, places: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n, np.uint64)
-        for k, p in enumerate(places.tolist()):
-            out |= (self.f[p // 64] >> np.uint64(63 - p % 64) & np.uint64(1)) << np.uint64(63 - k)
-        return out
-
     def covered(self, part: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The same pairs by part of the masks; a pair can come from several parts of the work."""
         held, most = [np.empty(0, np.int64)], 1 << 20
         for places, own in masks(self.max_bits):
-            word = self.words(places)
+            word = _words(self.f, places)
             for mask in own[part::of]:
-                row, key = self._sorted(word, mask)
+                row, key = _by_mask(word, mask, self.order)
                 for x, y in self._meeting(row, key):
                     near, d = self._near(x, y)
                     if len(near):
@@ -216,9 +347,9 @@ class _Block:
             return self.direct(part, of)
         met = 0
         for places, own in masks(self.max_bits):
-            word = self.words(places)
+            word = _words(self.f, places)
             for mask in own[::SAMPLED]:
-                _, key = self._sorted(word, mask)
+                _, key = _by_mask(word, mask, self.order)
                 n = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
                 met += int((n * (n - 1) // 2).sum()) * len(own) // len(own[::SAMPLED])
         return self.direct(part, of) if MET * met + SORTED * count * self.n > self.pairs else self.covered(part, of)
@@ -230,9 +361,10 @@ def _in_order(side: np.ndarray, ids: np.ndarray, f: list[np.ndarray]) -> np.ndar
     return np.lexsort((*f, ids, side))
 
 
-def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b, bits), a < b, of the rows (id, f0...) of different fingerprints that differ in at most max_bits: all of them."""
-    blocks = max(1, -(-reps.count() // block))
+def _by_blocks(reps: DataFrame, block: int, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(ids, fingerprints, split, part, of) on the rows (id, f0...) of each block and of each two blocks."""
+    n = reps.count()
+    blocks = 1 if n <= 2 * block else -(-n // block)
     both = [(i, j) for i in range(blocks) for j in range(i, blocks)]
     slices = -(-SLICES // len(both))
 
@@ -250,33 +382,57 @@ def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        task, got = 0, []
+        for batch in batches:  # copied, so that Spark's batches can go
+            if batch.num_rows:
+                task = batch.column(0)[0].as_py()
+                got.append((batch.column(1).to_numpy().copy(), batch.column(2).to_numpy().copy(), np.stack([c.to_numpy() for c in batch.columns[3:]], 1).view(np.uint64)))
         if not got:
             return
-        task, side, ids, *f = (np.concatenate(c) for c in zip(*got))
-        del got
-        order = _in_order(side, ids, f)
-        k, s = divmod(int(task[0]), slices)
+        side, ids, f = (np.concatenate(c) for c in zip(*got))
+        got.clear()
+        order = _in_order(side, ids, list(f.T))
+        k, s = divmod(task, slices)
         i, j = both[k]
-        split, ids, f = int((side == 0).sum()), ids[order], [c[order].view(np.uint64) for c in f]
-        if i != j and split in (0, len(ids)):
-            return
-        for x, y, d in _Block(f, split if i != j else 0, max_bits).near(s, slices):
+        split, ids, f = int((side == 0).sum()), ids[order], f.take(order, 0)
+        if i == j or split not in (0, len(ids)):
+            yield from work(ids, f, split if i != j else 0, s, slices)
+
+    tasks = reps.select("id", *_F).mapInArrow(dealt, "task int, side tinyint, id bigint, " + ", ".join(f"{k} bigint" for k in _F))
+    return tasks.repartitionById(len(both) * slices, F.col("task")).mapInArrow(joined, schema).distinct()
+
+
+def similar(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b, bits), a < b, of the rows (id, f0...) of different fingerprints that differ in at most max_bits: all of them."""
+
+    def pairs(ids: np.ndarray, f: np.ndarray, split: int, part: int, of: int) -> Iterator[pa.RecordBatch]:
+        for x, y, d in _Block([np.ascontiguousarray(c) for c in f.T], split, max_bits).near(part, of):
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             other = a != b
             yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other]), pa.array(d[other].astype(np.int32))], names=["a", "b", "bits"])
 
-    tasks = reps.select("id", *_F).mapInArrow(dealt, "task int, side tinyint, id bigint, " + ", ".join(f"{k} bigint" for k in _F))
-    return tasks.repartitionById(len(both) * slices, F.col("task")).mapInArrow(joined, "a bigint, b bigint, bits int").distinct()
+    return _by_blocks(reps, block, pairs, "a bigint, b bigint, bits int")
+
+
+def connected(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b), a < b, of the rows (id, f0...) of different fingerprints, whose connected components are those of similar()."""
+
+    def links(ids: np.ndarray, f: np.ndarray, split: int, part: int, of: int) -> Iterator[pa.RecordBatch]:
+        least = linked(f, split, max_bits, part, of)
+        other = np.flatnonzero(ids != ids[least])
+        for k in range(0, len(other), _BATCH):
+            a, b = ids[least[other[k : k + _BATCH]]], ids[other[k : k + _BATCH]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_blocks(reps, block, links, "a bigint, b bigint")
 
 
 def duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, duplicate_of) of each document that goes and the document of its group that stays."""
     prints = cut(texts(docs).mapInArrow(_prints, "doc_id bigint, " + ", ".join(f"{k} bigint" for k in _F)))
     reps = cut(prints.groupBy(*_F).agg(F.min("doc_id").alias("id")).select("id", *_F))
-    pairs = similar(reps, max_bits).select("a", "b")
     copies = prints.join(reps, _F).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    return groups(pairs.union(copies)).filter("id <> group").select(F.col("id").alias("doc_id"), F.col("group").alias("duplicate_of"))
+    return groups(connected(reps, max_bits).union(copies)).filter("id <> group").select(F.col("id").alias("doc_id"), F.col("group").alias("duplicate_of"))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
