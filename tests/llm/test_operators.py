@@ -748,6 +748,15 @@ def test_near_stage_takes_every_pair(spark):
     assert {d.doc_id for d in corpus_pipeline.near_stage(spark, docs_of(spark, rows), DIR).collect()} == set(group.tolist())
 
 
+def test_near_stage_takes_rows_without_id(spark):
+    """Of near copies without doc_id one stays, and none where another has one; texts without words stay."""
+    words = [" ".join(f"{c}{k}" for k in range(80)) for c in "abc"]
+    rows = [(None, words[0], "x"), (None, words[0], "y"), (None, words[0] + " more", "z"), (7, words[1], "x"), (None, words[1] + " more", "y"), (3, words[1], "z"), (-(2**63), words[2], "x"), (2**63 - 1, "another text", "x"), (None, "", "x"), (None, None, "x"), (None, "...", "x"), (None, "...", "x")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs_of(spark, rows), DIR).collect()]
+    assert {t.removesuffix(" more") for i, t in got if i is None and t} == {words[0], "..."}
+    assert sorted((i for i, _ in got), key=str) == sorted([None] * 5 + [3, -(2**63), 2**63 - 1], key=str)
+
+
 def test_groups(spark):
     pairs = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), (1, 2)], "a bigint, b bigint")
     assert {(r["id"], r["group"]) for r in groups(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}

@@ -20,7 +20,8 @@ most masks, but are compared only until they are connected. Every pair that coul
 
 Defined results: a null, empty or wordless text matches nothing. Rows that share a doc_id are one document: with any of
 their texts it can match, and they stay or go together. The least doc_id of a group stays. Rows without doc_id are left
-out of the report and kept by keep_one(). Empty input gives no rows.
+out of the report, which cannot name them; to keep_one() each is a document of its own, which stays only where its group
+has no doc_id, and then one of them. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -427,15 +428,35 @@ def connected(reps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     return _by_blocks(reps, block, links, "a bigint, b bigint")
 
 
-def duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, duplicate_of) of each document that goes and the document of its group that stays."""
-    prints = cut(texts(docs).mapInArrow(_prints, "doc_id bigint, " + ", ".join(f"{k} bigint" for k in _F)))
+def _members(named: DataFrame, max_bits: int) -> DataFrame:
+    """(id, group) of each id of named (doc_id, text) that is near another, and the least id of its group."""
+    prints = cut(named.mapInArrow(_prints, "doc_id bigint, " + ", ".join(f"{k} bigint" for k in _F)))
     reps = cut(prints.groupBy(*_F).agg(F.min("doc_id").alias("id")).select("id", *_F))
     copies = prints.join(reps, _F).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    return groups(connected(reps, max_bits).union(copies)).filter("id <> group").select(F.col("id").alias("doc_id"), F.col("group").alias("duplicate_of"))
+    return groups(connected(reps, max_bits).union(copies))
+
+
+def duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, duplicate_of) of each document that goes and the document of its group that stays."""
+    return _members(texts(docs), max_bits).filter("id <> group").select(F.col("id").alias("doc_id"), F.col("group").alias("duplicate_of"))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs, all columns, without the duplicates of a document that stays."""
-    gone = duplicates(docs, max_bits).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    doc_id = F.col("doc_id").cast("bigint")
+    if docs.filter(doc_id.isNull()).select("doc_id").isEmpty():
+        gone = duplicates(docs, max_bits).select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, doc_id == F.col("__gone"), "left_anti")
+    rows = cut(docs.filter(doc_id.isNull()).withColumn("__row", F.monotonically_increasing_id()))
+    turn = 0
+    while True:  # numbers of their own, which are nobody's doc_id: xxhash64 of one number is a bijection
+        numbered = rows.withColumn("__own", F.xxhash64(F.col("__row") + F.lit(turn).cast("bigint")))
+        if docs.select(doc_id.alias("__own")).join(numbered.select("__own"), "__own", "left_semi").isEmpty():
+            break
+        turn += 1
+    both = texts(docs).union(numbered.select("__own", F.col("text").cast("string")))
+    members = cut(_members(both, max_bits).join(numbered.select(F.col("__own").alias("id"), F.lit(True).alias("nameless")), "id", "left"))
+    stays = members.groupBy("group").agg(F.coalesce(F.min(F.when(F.col("nameless").isNull(), F.col("id"))), F.min("id")).alias("stays"))
+    gone = members.join(stays, "group").filter("id <> stays").select(F.col("id").alias("__gone"))
+    named = docs.filter(doc_id.isNotNull()).join(gone, doc_id == F.col("__gone"), "left_anti")
+    return named.union(numbered.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns))
