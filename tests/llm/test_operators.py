@@ -513,6 +513,16 @@ def test_simhash_connects_what_all_pairs_connect(spark, block):
     assert {(p.a, p.b) for p in simhash.connected(reps, block=block).collect()} == {(a, b) for a, b, _ in _all_near(f)}
 
 
+@pytest.mark.parametrize("n, block, most", [(1000, 500, 1000), (1000, 300, 660)])
+def test_simhash_rows_of_a_task(spark, n, block, most):
+    """Up to two blocks are one, whose masks the tasks share; of more, a task holds about two, so its memory is bounded."""
+    f = _at_the_limit(n // 2)
+    reps = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "id bigint, " + ", ".join(f"f{k} bigint" for k in range(6)))
+    size = lambda ids, f, split, part, of: iter([pa.RecordBatch.from_arrays([pa.array([len(ids)])], names=["n"])])
+    got = [r.n for r in simhash._by_blocks(reps, block, size, "n bigint").collect()]
+    assert max(got) <= most and (got == [n]) == (n <= 2 * block)
+
+
 def test_cells_bound_distance():
     r = np.random.default_rng(0)
     f = r.integers(0, 2**63, (50, 6)).astype(np.uint64)

@@ -39,7 +39,7 @@ from winnow.llm.common import cut, forget, groups, texts
 
 BITS, PART, MAX_BITS = 384, 24, 64
 #: Bits of the vectors of a part's masks, at most; those of longer masks, where more than LONG fingerprints would meet too often; fingerprints to a block; tasks at least.
-VECTOR, WIDE, LONG, BLOCK, SLICES = 10, 11, 1 << 19, 3 << 19, 12
+VECTOR, WIDE, LONG, BLOCK, SLICES = 10, 11, 1 << 19, 7 << 17, 12
 #: A sorted fingerprint costs as much as SORTED compared pairs, a candidate as much as MET; one mask in SAMPLED is tried to foresee candidates.
 SORTED, MET, SAMPLED = 6, 10, 256
 #: Masks of a part whose neighbours are linked before any others meet.
@@ -147,6 +147,12 @@ def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             label = least
 
 
+def _permute(f: np.ndarray, order: np.ndarray) -> None:
+    """In place and by columns, as two workers of an executor hold up to 2 * BLOCK rows each."""
+    for k in range(f.shape[1]):
+        f[:, k] = f[order, k]
+
+
 class _Linked:
     """Rows in the order of their components, which grow by links. f is kept in that order; at: the rows' own places."""
 
@@ -179,7 +185,7 @@ class _Linked:
         if self.word is not None:
             self.word = self.word[order]
         self.own = self.label[self.at]
-        self.f[:] = self.f.take(order, 0)
+        _permute(self.f, order)
 
     def take(self, places: np.ndarray) -> None:
         self.word = _words([self.f[:, k] for k in range(_N)], places)
@@ -395,7 +401,9 @@ def _by_blocks(reps: DataFrame, block: int, work: Callable[..., Iterator[pa.Reco
         order = _in_order(side, ids, list(f.T))
         k, s = divmod(task, slices)
         i, j = both[k]
-        split, ids, f = int((side == 0).sum()), ids[order], f.take(order, 0)
+        _permute(f, order)
+        split, ids = int((side == 0).sum()), ids[order]
+        del side, order
         if i == j or split not in (0, len(ids)):
             yield from work(ids, f, split if i != j else 0, s, slices)
 
