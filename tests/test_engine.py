@@ -155,3 +155,21 @@ def test_files(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_attach_answers_at_one_pos(spark):
+    notes = spark.createDataFrame([(1, 2, "b", 7), (1, 2, "a", 3), (1, 1, "c", 0), (2, 1, "d", 0)], "question_id int, pos int, last string, row int")
+    got = benchmarks.attach_answers(spark.createDataFrame([(1,), (3,)], "question_id int"), notes, ties=("row",))
+    assert [tuple(r) for r in got.collect()] == [(1, "a")]
+
+
+def test_attach_answers_query_is_its_sql(spark):
+    import duckdb
+
+    from winnow import queries
+
+    d, c = "/root/testdata/sf0.1", duckdb.connect()
+    for t in ("orders", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = sorted(c.execute(queries.SQL["j1_attach_answers"]).fetchall())
+    assert sorted((r[0], r[1]) for r in queries.QUERIES["j1_attach_answers"](spark, d).collect()) == want

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +16,10 @@ def _or0(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def attach_answers(questions: DataFrame, annotations: DataFrame, pos: str = "pos", key: str = "question_id") -> DataFrame:
-    """Questions with the last annotation of their id; questions without one go."""
-    w = Window.partitionBy(key).orderBy(F.desc(pos))
-    last = annotations.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", pos)
+def attach_answers(questions: DataFrame, annotations: DataFrame, pos: str = "pos", key: str = "question_id", ties: Sequence[str] = ()) -> DataFrame:
+    """Questions with the last annotation of their id; questions without one go. Of annotations at one pos the first by ties is taken."""
+    w = Window.partitionBy(key).orderBy(F.desc(pos), *ties)
+    last = annotations.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", pos, *ties)
     return questions.join(last, key)
 
 
