@@ -173,3 +173,14 @@ def test_attach_answers_query_is_its_sql(spark):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     want = sorted(c.execute(queries.SQL["j1_attach_answers"]).fetchall())
     assert sorted((r[0], r[1]) for r in queries.QUERIES["j1_attach_answers"](spark, d).collect()) == want
+
+
+def test_csv_texts_query_keeps_white_space(spark, tmp_path):
+    import hashlib
+
+    from winnow import queries
+
+    texts = [" a ", "\na\n", "a\t", "\n", " ", "\r", 'a"', "a\\", "a\r\nb", "a,b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: r[1] for r in queries.QUERIES["s6_csv_texts"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(texts)}

@@ -764,10 +764,14 @@ def s5_json_by_key(spark, d):
     return readers.json_by_key(spark, at, "struct<question string>")
 
 
+#: Spark's CSV writer strips white space at the ends of texts unless told not to.
+_EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''")
 def s6_csv_texts(spark, d):
     at = _fresh(spark, "s6")
-    table(spark, d, "documents").select("doc_id", "text").filter("text <> ''").write.csv(at, header=True, quoteAll=True, escape='"', lineSep="\n")
+    table(spark, d, "documents").select("doc_id", "text").filter("text <> ''").write.csv(at, header=True, quoteAll=True, escape='"', lineSep="\n", **_EXACT)
     return readers.csv_texts(spark, at, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -775,7 +779,7 @@ def s6_csv_texts(spark, d):
 def s7_choices_tsv(spark, d):
     at = _fresh(spark, "s7")
     p = table(spark, d, "part")
-    p.select(F.col("p_partkey").cast("string").alias("index"), F.col("p_name").alias("question"), F.lit(None).cast("string").alias("hint"), F.col("p_brand").alias("A"), F.lit("b").alias("B"), F.lit('say "c"').alias("C"), F.when(F.col("p_partkey") % 2 == 0, "d").alias("D"), F.lit("A").alias("answer"), F.lit("x").alias("category"), F.lit("y").alias("l2-category")).write.csv(at, sep="\t", header=True, quote='"', escape='"')
+    p.select(F.col("p_partkey").cast("string").alias("index"), F.col("p_name").alias("question"), F.lit(None).cast("string").alias("hint"), F.col("p_brand").alias("A"), F.lit("b").alias("B"), F.lit('say "c"').alias("C"), F.when(F.col("p_partkey") % 2 == 0, "d").alias("D"), F.lit("A").alias("answer"), F.lit("x").alias("category"), F.lit("y").alias("l2-category")).write.csv(at, sep="\t", header=True, quote='"', escape='"', **_EXACT)
     return readers.choices_tsv(spark, at).select("index", "question", F.size("choices").alias("n_choices"), F.col("choices")["A"].alias("a"))
 
 
