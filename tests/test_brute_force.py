@@ -118,3 +118,33 @@ def test_chunks_hold_the_sentences_in_order(spark, docs):
         assert " ".join(parts) == " ".join(got.get(r["doc_id"], []))
         for a, b in zip(got.get(r["doc_id"], []), got.get(r["doc_id"], [])[1:]):
             assert len(a) >= 300 and (len(b) >= 200 or len(a) + len(b) > 800)
+
+
+def test_text_dedup_in_stretches(spark):
+    r = np.random.default_rng(3)
+    base = ["".join(chr(97 + x) for x in r.integers(0, 26, 60)) for _ in range(6)]
+    texts = []
+    for _ in range(240):
+        t = list(base[r.integers(6)])
+        for k in r.choice(60, r.integers(0, 5), replace=False):
+            t[k] = "z"
+        texts.append("".join(t))
+    ids = [int(x) for x in r.permutation(10_000)[:240]]
+    sig = {i: np.array(signature(t)) for i, t in zip(ids, texts)}
+    left = kept_in_turn(sorted(ids), lambda i, k: (sig[i] == sig[k]).mean() >= 0.8)
+    df = spark.createDataFrame(list(zip(ids, texts)), "pos bigint, text string")
+    for first, small in ((1000, 2048), (10, 4)):  # one stretch in one block; five stretches, whose rows go to eight blocks
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(dedup, "SMALL", small)
+            assert sorted(x["pos"] for x in dedup.text_dedup(df, first=first).collect()) == left
+    assert 20 < len(left) < 220
+
+
+def test_sketches_leave_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 2**32, (50, 128), np.uint32)
+    y = x.copy()
+    for k, row in enumerate(y):
+        row[r.choice(128, k // 2, replace=False)] ^= np.uint32(1) << np.uint32(k % 32)  # 0 to 24 numbers differ, by one bit
+    a, b, found = (np.concatenate(c) for c in zip(*dedup._close(dedup._sketch(x), dedup._sketch(y), 25)))
+    assert {(k, k) for k in range(50)} <= set(zip(a.tolist(), b.tolist())) and (found <= 25).all()
