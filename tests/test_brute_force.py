@@ -148,3 +148,17 @@ def test_sketches_leave_out_no_similar_pair():
         row[r.choice(128, k // 2, replace=False)] ^= np.uint32(1) << np.uint32(k % 32)  # 0 to 24 numbers differ, by one bit
     a, b, found = (np.concatenate(c) for c in zip(*dedup._close(dedup._sketch(x), dedup._sketch(y), 25)))
     assert {(k, k) for k in range(50)} <= set(zip(a.tolist(), b.tolist())) and (found <= 25).all()
+
+
+def test_signatures_across_lookups(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_ROWS", 2)
+    monkeypatch.setattr(dedup, "_SHINGLES", 5)
+    monkeypatch.setattr(dedup, "_KNOWN", {})
+    import pyarrow as pa
+
+    texts = ["abcdef", "abcabc", "xyz", "defabcxyz", "q"]
+    grams = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) or [t] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(grams)], names=["id", "shingles"])
+    got = list(dedup._minhashes(iter([batch.slice(0, 3), batch.slice(3)])))
+    assert [b.num_rows for b in got] == [2, 1, 2]  # a few rows at a time, not the batch
+    assert np.concatenate([dedup._matrix(b.column(1)) for b in got]).tolist() == [signature(t) for t in texts]
