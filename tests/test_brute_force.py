@@ -150,6 +150,14 @@ def test_sketches_leave_out_no_similar_pair():
     assert {(k, k) for k in range(50)} <= set(zip(a.tolist(), b.tolist())) and (found <= 25).all()
 
 
+def test_clean_writes_no_text(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(dedup, "cut", lambda d, real=dedup.cut: (written.append(d.columns), real(d))[1])
+    rows = [(i, i, f"a text of the number {i * i}", 200.0, 7.0) for i in range(6)]
+    out, counts = dedup.clean(spark.createDataFrame(rows, "pos bigint, phash bigint, source_text string, blur double, entropy double"))
+    assert "source_text" in out.columns and counts["input"] == 6 and written and not any("source_text" in c for c in written)
+
+
 def test_signatures_across_lookups(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_ROWS", 2)
     monkeypatch.setattr(dedup, "_SHINGLES", 5)
